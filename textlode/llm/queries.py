@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from .fingerprints import op3_fingerprints
+from .quality import op1_quality
+from .secrets import op2_secret_scan
 from .token_files import op8_token_files
+from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op8_token_files,)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_secret_scan, op3_fingerprints, op4_toxicity, op8_token_files)}
 ORACLES: dict[str, str] = {}
