@@ -5,8 +5,10 @@ from __future__ import annotations
 from .fingerprints import op3_fingerprints
 from .quality import op1_quality
 from .secrets import op2_secret_scan
+from .substrings import ORACLE as _OP5
+from .substrings import op5_substring_dedup
 from .token_files import op8_token_files
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_secret_scan, op3_fingerprints, op4_toxicity, op8_token_files)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_secret_scan, op3_fingerprints, op4_toxicity, op5_substring_dedup, op8_token_files)}
+ORACLES: dict[str, str] = {"op5_substring_dedup": _OP5}
