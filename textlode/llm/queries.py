@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .fingerprints import op3_fingerprints
+from .near_dedup import op10_near_dedup
 from .quality import op1_quality
 from .secrets import op2_secret_scan
 from .substrings import ORACLE as _OP5
@@ -10,5 +11,5 @@ from .substrings import op5_substring_dedup
 from .token_files import op8_token_files
 from .toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_secret_scan, op3_fingerprints, op4_toxicity, op5_substring_dedup, op8_token_files)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_secret_scan, op3_fingerprints, op4_toxicity, op5_substring_dedup, op8_token_files, op10_near_dedup)}
 ORACLES: dict[str, str] = {"op5_substring_dedup": _OP5}
