@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import CONFIDENCES, HIDDEN, glob
+from ..functions.columns import CONFIDENCES, HIDDEN, classify, glob
 from ..rules import Rule, leaves
 from . import kernels
 
@@ -16,26 +16,19 @@ HITS = (
 )
 
 
-def applies(rule: Rule) -> Column:
-    """Which documents (path, kind, lang, tags, text) a rule is tried on."""
-    on = F.lit(True)
-    if rule.kinds:
-        on = on & F.col("kind").isin(*rule.kinds)
-    if rule.langs:
-        on = on & F.col("lang").isin(*rule.langs)
-    if rule.tags_any:
-        on = on & F.arrays_overlap("tags", F.array(*map(F.lit, rule.tags_any)))
-    if rule.tags_none:
-        on = on & ~F.arrays_overlap("tags", F.array(*map(F.lit, rule.tags_none)))
-    if rule.globs:
-        on = on & F.col("path").rlike("|".join(map(glob, rule.globs)))
-    if rule.exclude_globs:
-        on = on & ~F.col("path").rlike("|".join(map(glob, rule.exclude_globs)))
-    if rule.max_bytes:
-        on = on & (F.octet_length("text") <= rule.max_bytes)
-    if not rule.include_minified and not rule.pack.startswith("secrets"):
-        on = on & ~F.array_contains("tags", "minified")
-    return on
+def applies(rule: Rule, doc: kernels.Document) -> bool:
+    """Whether a rule is tried on a document of that path, kind, language, tags and size."""
+    path = lambda globs: any(kernels.compiled(glob(g)).match(doc.path) for g in globs)
+    return (
+        (not rule.kinds or doc.kind in rule.kinds)
+        and (not rule.langs or doc.lang in rule.langs)
+        and (not rule.tags_any or bool(doc.tags & set(rule.tags_any)))
+        and not doc.tags & set(rule.tags_none)
+        and (not rule.globs or path(rule.globs))
+        and not path(rule.exclude_globs)
+        and (not rule.max_bytes or len(doc.text.encode("utf-8", "surrogatepass")) <= rule.max_bytes)
+        and (rule.include_minified or rule.pack.startswith("secrets") or "minified" not in doc.tags)
+    )
 
 
 def prefilter(rule: Rule) -> Column:
@@ -54,10 +47,12 @@ def prefilter(rule: Rule) -> Column:
     return F.lit(True)
 
 
-def match(docs: DataFrame, rules: list[Rule], allow_values: tuple[str, ...] = ()) -> DataFrame:
-    """HITS of docs (path, text, kind, lang, tags). Which rules run on a document is decided natively; documents without any never reach Python."""
-    tried = docs.withColumn("rules", F.array_compact(F.array(*[F.when(applies(r) & prefilter(r), F.lit(i)) for i, r in enumerate(rules)])))
-    tried = tried.where(F.size("rules") > 0).select("path", "text", "kind", "lang", "tags", "rules")
+def match(docs: DataFrame, rules: list[Rule], allow_values: tuple[str, ...] = (), inject: bool = False) -> DataFrame:
+    """HITS of docs (path, text). Texts that wake no rule are left out natively, before they are classified or reach Python."""
+    awake = F.array_compact(F.array(*[F.when(prefilter(r), F.lit(i)) for i, r in enumerate(rules)]))
+    tried = classify(docs.select("path", "text").withColumn("rules", awake).where(F.size("rules") > 0))
+    if inject:
+        tried = tried.withColumn("kind", F.lit("doc"))
 
     def run(batches):
         for b in batches:
@@ -66,7 +61,8 @@ def match(docs: DataFrame, rules: list[Rule], allow_values: tuple[str, ...] = ()
 
     def hits(row):
         doc = kernels.Document(row["text"] or "", row["path"], row["kind"], row["lang"], tuple(row["tags"]))
-        found, capped, secrets = kernels.scan(doc, [rules[i] for i in row["rules"]], allow_values)
+        tried = [r for r in (rules[i] for i in row["rules"]) if applies(r, doc)]
+        found, capped, secrets = kernels.scan(doc, tried, allow_values)
         for i, (rule, h) in enumerate(found):
             line, col = doc.position(h.start)
             end_line, end_col = doc.position(max(h.start, h.end - 1))

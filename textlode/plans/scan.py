@@ -67,9 +67,9 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, options: Options = Options(
         raise ValueError(f"rules with problems: {bad}")
     spark = docs.sparkSession
     rules = [severity_of(r, options.severity_overrides) for r in rules]
-    texts = classified(docs.select("path", F.coalesce("text", F.lit("")).alias("text")), options.inject)
+    texts = docs.select("path", F.coalesce("text", F.lit("")).alias("text"))
     # the one pass over texts; all that follows reads hits alone
-    hits = materialize(match.match(texts, rules, options.allow_values), "hits")
+    hits = materialize(match.match(texts, rules, options.allow_values, options.inject), "hits")
     table = rules_table(spark, rules)
     exposure = F.lit("default") if options.inject else C.exposure(F.col("path"), F.col("tags"), options.exposure_globs)
     rank = C.confidence(F.col("rule_confidence"), F.col("delta"))

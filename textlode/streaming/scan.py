@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import match
-from ..plans.scan import classified, scan
+from ..plans.scan import scan
 from ..rules import RULES, Rule
 
 
 def hits(stream: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Hits of a stream of (path, text), stateless."""
-    return match.match(classified(stream.select("path", F.coalesce("text", F.lit("")).alias("text"))), rules)
+    return match.match(stream.select("path", F.coalesce("text", F.lit("")).alias("text")), rules)
 
 
 def findings(stream: DataFrame, out: str, checkpoint: str, rules: list[Rule] = RULES, **trigger):
