@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, partitions
-from .tokens import Encoder, slices
+from .tokens import Encoder, slices, trim
 
 LENGTH, DIMENSIONS, BITS, SAMPLE = 2048, 4, 8, 16
 _PROJECTION = np.random.default_rng(20).standard_normal((256, DIMENSIONS))
@@ -146,6 +146,7 @@ def pack(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int, with_ids: b
     """PIECES of all docs, and their ids (little-endian uint32) if asked for. Sequences of one range are numbered on from its number times 2^32."""
 
     def run(batches):
+        trim()
         packer, encoder, out = Packer(TaskContext.get().partitionId() << 32), _encoder(tokenizer, spaced), []
         for batch in batches:
             for rows in slices(batch, "text"):

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import mph
 from .common import documents, materialize, mix, partitions, scratch
-from .tokens import Encoder, slices
+from .tokens import Encoder, slices, trim
 
 #: Keys of one index file: what one task holds when it builds or reads it.
 BUCKET_KEYS = 200_000
@@ -65,6 +65,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, spaced: bool, end_id: in
     """Writes the shards and returns ROWS: of each document its shard, and there the offset of its first id and their number."""
 
     def shard(batches):
+        trim()
         # ids go to the file as they come: a task holds one run of rows
         number, at, copy, last, f, encoder = TaskContext.get().partitionId(), 0, 0, (), None, _encoder(tokenizer, spaced)
         store, path = fs.FileSystem.from_uri(f"{folder}/shard-{number:06d}.ids")

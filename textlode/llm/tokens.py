@@ -8,6 +8,8 @@ tokenizer together, joined by spaces; the ids of each are found again by the mar
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import string
 from collections.abc import Iterator
@@ -22,8 +24,18 @@ _CUT = re.compile(r" (?=[\w!-~])")
 _TAIL = string.punctuation.replace("'", "").replace("_", "")
 
 
+def trim() -> None:
+    """Gives back what a reused worker's earlier tasks left unused: in Arrow's pool, and in the C library's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Encoder:
-    def __init__(self, path: str, spaced: bool, most: int = 300_000):
+    def __init__(self, path: str, spaced: bool, most: int = 200_000):
         """spaced: a piece keeps the space before it (byte-level BPE); otherwise white space is dropped. most: pieces, and letter runs, remembered."""
         one_thread()
         from tokenizers import Tokenizer
@@ -129,7 +141,7 @@ class Encoder:
         return self.batch(pa.array([text], pa.string()))[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 2_500_000) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows with about that many bytes of the column; a longer row is a run of its own."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     a, total = 0, 0
