@@ -5,6 +5,7 @@ import os
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -337,6 +338,69 @@ def test_paraphrase_needs_its_answer(spark):
     assert got == {1: 1, 2: 1, 3: 0, 4: 0}
 
 
+def test_paraphrases_without_their_rare_words_are_found(spark):
+    """Items whose rarest 35% of words are replaced, set into real text: brute-force LCS over every passage of 500 documents."""
+    sf, rng = "/root/testdata/sf0.01", random.Random(2)
+    items = {r["item_id"]: decontamination.words(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    texts = [decontamination.words(r["text"])[:400] for r in documents(spark, sf).orderBy("doc_id").limit(500).collect()]
+    df = {}
+    for t in texts:
+        for w in set(t):
+            df[w] = df.get(w, 0) + 1
+    planted = {}
+    for k, (i, own) in enumerate(3 * list(items.items())):
+        gone = set(sorted(range(len(own)), key=lambda p: (df.get(own[p], 0), rng.random()))[: int(0.35 * len(own))])
+        at = rng.randrange(len(texts[k]) + 1)
+        texts[k] = texts[k][:at] + [f"new{rng.randrange(9**9)}" if p in gone else w for p, w in enumerate(own)] + texts[k][at:]
+        planted[k] = i
+    holds, by = set(), {}
+    for i, own in items.items():
+        for w in own:
+            by.setdefault(w, set()).add(i)
+    for k, t in enumerate(texts):
+        for i, own in items.items():
+            n, mine = len(own), np.array([i in by.get(w, ()) for w in t], bool)
+            for start in decontamination.passages(len(t)).tolist():
+                lo, hi = max(0, start - n), start + decontamination.PASSAGE + n
+                row = t[lo:hi]
+                if k not in holds and mine[lo:hi].sum() >= n / 2 and (Counter(row) & Counter(own)).total() >= n / 2:
+                    best = np.zeros(n + 1, int)
+                    for w in row:  # by the textbook
+                        best[1:] = np.maximum.accumulate(np.where(np.array(own) == w, best[:-1] + 1, best[1:]))
+                    told = any(row[x : x + 4] == own[-4:] for x in range(len(row)))
+                    if best[-1] >= 0.65 * n or (told and best[-1] >= 0.5 * n):
+                        holds.add(k)
+    assert set(planted) <= holds
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {r["doc_id"] for r in decontamination.search(docs, bench).where("contaminated = 1").collect()}
+    assert got <= holds
+    assert len(got) >= 0.95 * len(holds)  # a few have a cosine below COSINE
+
+
+def test_no_pair_that_shares_common_words_is_left_out():
+    """near() against the longest common subsequence of every item with every passage."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]
+    draw = lambda n: rng.choices(words, weights, k=n)
+    bench = decontamination.Benchmark([(i, " ".join(draw(rng.choice([1, 3, 10, 30, 70])))) for i in range(30)])
+    terms = decontamination.Terms(bench.vocabulary)
+    texts = [terms.of(" ".join(draw(rng.choice([0, 1, 17, 200])))) for _ in range(40)]
+    bench.weigh({t: sum(t in x for x in texts) for t in range(len(bench.vocabulary))}, len(texts))
+    searcher = decontamination.Searcher(bench, np.ones((len(bench.vocabulary), 1)))  # each cosine of a passage with a term is 1
+    got = searcher.candidates(texts)
+    assert searcher.search(texts) == list(map(searcher.best, texts, got))
+    for t, ids in enumerate(texts):
+        assert searcher.candidates([ids])[0].keys() <= got[t].keys()
+        for i, own in enumerate(bench.rows):
+            for start in decontamination.passages(len(ids)).tolist():
+                row = ids[max(0, start - len(own)) : start + decontamination.PASSAGE + len(own)].tolist()
+                term = (ids[start : start + decontamination.PASSAGE] >= 0).any()
+                if term and decontamination.lcs(bench.masks[i], len(own), row) >= decontamination.COMMON * len(own):
+                    assert (i, start) in got[t]
+
+
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_query_equals_its_sql(spark, sf, name):
     con = duckdb.connect()
