@@ -312,6 +312,16 @@ def test_held_out_accuracy(spark, name, label, least):
     assert sum(r["predicted"] == r[label] for r in rows) >= least * len(rows) and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_toxic_rows_take_no_other_row_along(spark):
+    """A toxic and a clean row under a null doc_id, and under a repeated one."""
+    known = [(i, f"{'fair' if i % 3 else 'foul'} word{i}") for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in known], "doc_id long, toxic int")
+    rows = [(None, "foul a"), (None, "fair b"), (None, "fair c"), (900, "foul d"), (900, "fair e"), (901, None), (901, "foul f"), (902, "foul g"), (902, "foul g")]
+    docs = table(spark, known + rows)
+    kept = [(r["doc_id"], r["text"]) for r in toxicity.accept(docs, labels).where("doc_id IS NULL OR doc_id >= 900").collect()]
+    assert sorted(kept, key=str) == sorted([r for r in rows if not (r[1] or "").startswith("foul")], key=str)
+
+
 def test_benchmark_passages_are_found(spark):
     """Against five-word runs, counted by brute force; the clean documents stay."""
     sf = "/root/testdata/sf0.001"
