@@ -1,5 +1,6 @@
 """Edge cases that every operator meets, and each against a brute-force version on small tables."""
 
+import base64
 import hashlib
 import os
 import random
@@ -261,7 +262,18 @@ def test_secrets(spark, sf):
     body = "a1B2" * 7 + "Zz"
     good = b"ghp_" + body.encode() + secrets._crc62(body.encode())
     assert ("github", 2, 42) in secrets.scan("x " + good.decode()) and secrets.scan("x ghp_" + body + "000000") == []
+    der = b"\x30\x82" + (40_000).to_bytes(2, "big") + bytes(range(256)) * 156 + bytes(64)
+    for n in (64, 76):
+        key = base64.b64encode(der).decode()
+        key = "\n".join(key[i : i + n] for i in range(0, len(key), n))
+        pem = f"-----BEGIN RSA PRIVATE KEY-----\n{key}\n-----END RSA PRIVATE KEY-----"
+        assert ("pem", 2, 2 + len(pem)) in secrets.scan("x " + pem + " y") and not [f for f in secrets.scan(pem[:-30]) if f[0] == "pem"]
     assert [f[0] for f in secrets.scan("iban: GB82WEST12345698765432 card 4111 1111 1111 1111 card 4111 1111 1111 1112")] == ["iban", "card"]
+    got = {r["doc_id"]: r for r in queries.QUERIES["op2_secret_scan"](spark, sf).collect()}
+    for r in documents(spark, sf).collect():
+        base, x = brute_secrets(r["text"]), got[r["doc_id"]]
+        assert (x["n_assign"], x["n_access"], x["n_hex"]) == tuple(sum(f[0] == k for f in base) for k in ("assign", "access", "hex"))
+        assert x["base_sha256"] == hashlib.sha256(secrets.joined(base).encode()).hexdigest() and x["spans"] == secrets.joined(secrets.scan(r["text"]))
     one = secrets.redact(table(spark, [(1, "a token = abcdef z"), (2, None)])).orderBy("doc_id").collect()
     assert one[0]["text"] == "a <ASSIGN> z" and one[0]["n_chars"] == 12 and one[1]["text"] is None
 
@@ -269,8 +281,31 @@ def test_secrets(spark, sf):
 def test_fingerprints_add_up():
     of = fingerprints.Fingerprint.of
     assert of("a b c d\nx y z") == of("x y z\na b c d") != of("a b c d\nx y")
-    assert (of("a b c") + of("x y")).hex() == of("a b c\nx y").hex() and of("a b c\nx y") - of("x y") == of("a b c")
+    assert str(of("a b c") + of("x y")) == str(of("a b c\nx y")) and of("a b c\nx y") - of("x y") == of("a b c")
     assert of(None).likeness(of("")) == 1.0
+    for text in ("a b c\nx y", "lorem ipsum dolor " * 50_000, "-"):
+        again = fingerprints.Fingerprint.parse(str(of(text)))
+        assert str(again) == str(of(text)) and (again.lanes == of(text).lanes).all()
+
+
+def test_fingerprints_of_long_repetitive_texts():
+    of, text = fingerprints.Fingerprint.of, "lorem ipsum dolor " * 70_000
+    half = fingerprints.edited(text, "one two three four five six " * 60_000)
+    assert 0.4 < of(text).likeness(of(half)) < 1 and of(text).likeness(of("one two three four")) < 0.4
+
+
+def test_each_fingerprint_row_meets_the_next(spark):
+    """Nulls, ties and repeats over many small ranges: by doc_id, nulls first, then by hash of the text."""
+    rng = random.Random(9)
+    rows = [(rng.choice([None, 1, 2, 2, 2, *range(40)]), rng.choice([None, "", *(f"w{i} x y" for i in range(30))])) for _ in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    order = docs.withColumn("h", F.xxhash64("text")).orderBy(F.col("doc_id").asc_nulls_first(), "h", "text").collect()
+    want = []
+    for r, n in zip(order, order[1:] + order[:1], strict=True):
+        changed = fingerprints.edited(r["text"] or "", n["text"] or "")
+        want.append((r["doc_id"], len(r["text"] or ""), hashlib.sha256(changed.encode()).hexdigest()))
+    got = [tuple(r)[:3] for r in fingerprints.compare(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
 
 
 def test_fingerprints_query(spark, sf):
@@ -283,7 +318,9 @@ def test_fingerprints_query(spark, sf):
         changed = text[: len(text) - k] + docs[n][:k]
         r = rows[d]
         assert r["n_chars"] == len(text) and r["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
-        assert r["fingerprint"] == fingerprints.Fingerprint.of(text).hex() and r["edited_fingerprint"] == fingerprints.Fingerprint.of(changed).hex()
+        assert r["fingerprint"] == str(fingerprints.Fingerprint.of(text)) and r["edited_fingerprint"] == str(fingerprints.Fingerprint.of(changed))
+        a, b = (fingerprints.Fingerprint.parse(r[c]) for c in ("fingerprint", "edited_fingerprint"))
+        assert r["near_edited"] == a.likeness(b) and r["near_next"] == a.likeness(fingerprints.Fingerprint.parse(rows[n]["fingerprint"]))
     near = [r["near_edited"] > r["near_next"] for r in rows.values() if r["n_chars"] > 200]
     assert sum(near) > 0.95 * len(near)
 

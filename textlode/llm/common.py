@@ -22,9 +22,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; where it is unset, as in tests, a new local one."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; where a local master has none, as in tests, a new local one."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="textlode-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -64,6 +66,58 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of text that a range of rows is to have, where that asks for more ranges than there are shuffle partitions.
+RANGE_BYTES = 128 << 20
+
+
+class Ranges:
+    """Ranges of keys (a, b), parted at keys of the rows' own: each starts with a row that is there."""
+
+    def __init__(self, starts: list[tuple[int, int]]):
+        self.a, self.b = (np.array([s[i] for s in starts], np.int64) for i in (0, 1))
+
+    def __len__(self) -> int:
+        return len(self.a)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The range of each key; keys before the first range are put there."""
+        lo, hi = np.searchsorted(self.a, a, "left"), np.searchsorted(self.a, a, "right")
+        out = lo - 1
+        for i in np.flatnonzero(hi > lo).tolist():  # a start has the same a: b decides
+            out[i] += np.searchsorted(self.b[lo[i] : hi[i]], b[i], "right")
+        return np.maximum(out, 0)
+
+
+def ranges(sample: DataFrame, n: int, least: tuple[int, int] | None = None) -> Ranges:
+    """At most n ranges about as heavy as each other, by a sample (a, b, weight: long) of which some hundreds of n rows reach the driver."""
+    rows = sorted(tuple(r) for r in sample.groupBy("a", "b").agg(F.sum("weight").alias("weight")).collect())
+    if least is not None:
+        rows = [(*least, 1), *(r for r in rows if r[:2] > least)]
+    total = sum(r[2] for r in rows)
+    starts, passed = [], 0
+    for a, b, weight in rows:
+        if passed * n >= len(starts) * total:
+            starts.append((a, b))
+        passed += weight
+    return Ranges(starts)
+
+
+def heavy(rows: DataFrame, keys: list[str], spark: SparkSession, n: str = "n") -> list | None:
+    """Of rows (keys, and their count n), the keys that hold over a fourth of an even share: at most four times as many as partitions."""
+    parts = 4 * partitions(spark)
+    total = rows.agg(F.sum(n)).first()[0] or 0
+    return rows.where(F.col(n) > max(10_000, total // parts)).select(*keys).collect()
+
+
+def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], hot: list, how: str = "inner") -> DataFrame:
+    """left join right (one row a key) where the keys `hot` (see heavy(): a bounded number) are sent to all tasks and not shuffled."""
+    if not hot:
+        return left.join(right, keys, how)
+    few = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(*keys).schema))
+    some = right.join(few, keys, "left_semi")
+    return left.join(few, keys, "left_semi").join(F.broadcast(some), keys, how).unionByName(left.join(few, keys, "left_anti").join(right, keys, how))
+
+
 def held_out(doc_id="doc_id"):
     """True for the rows that no label is learnt from; a null doc_id counts as its text "" does."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % FOLDS == 0

@@ -50,7 +50,7 @@ _AT = {
     "github": re.compile(rb"gh[pousr]_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
     "npm": re.compile(rb"npm_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
     "jwt": re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+"),
-    "pem": re.compile(rb"-----BEGIN ([A-Z ]{0,30})PRIVATE KEY-----\s{1,4}([A-Za-z0-9+/=\s]{1,20000}?)-----END \1PRIVATE KEY-----"),
+    "pem": re.compile(rb"-----BEGIN ([A-Z ]{0,30})PRIVATE KEY-----\s{1,4}([A-Za-z0-9+/=\s]++)-----END \1PRIVATE KEY-----"),
     "iban": re.compile(rb"(?i:iban)[:=\x20]{1,4}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])"),
     "card": re.compile(rb"(?i:card)(?:\x20(?i:number|no\.?))?[:=\x20]{1,4}([0-9](?:[\x20-]?[0-9]){12,18})(?![0-9])"),
 }
