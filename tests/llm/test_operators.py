@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from textlode.llm import decontamination, fingerprints, licenses, mph, near_dedup, packing, quality, queries, secrets, substrings, token_files, toxicity
+from textlode.llm import common, decontamination, fingerprints, licenses, mph, near_dedup, packing, quality, queries, secrets, substrings, token_files, toxicity
 from textlode.llm.common import documents, shared_dir, windows
 from textlode.llm.components import components
 from textlode.llm.tokens import Encoder
@@ -215,10 +215,42 @@ def brute_removed(docs):
     return out
 
 
+def naive_factors(block, w):
+    """Greedy factors of w against contexts: the first context and place that has the window, as far as both go along."""
+    out, i = [], 0
+    while i < len(w):
+        at = next(((c, p) for c, (_, _, other) in enumerate(block) for p in range(len(other)) if other[p] == w[i]), None)
+        if at is None:
+            i += 1
+            continue
+        row, start, other = block[at[0]]
+        n = 1
+        while i + n < len(w) and at[1] + n < len(other) and w[i + n] == other[at[1] + n]:
+            n += 1
+        out.append((i, n, row, start + at[1]))
+        i += n
+    return out
+
+
+def test_factors_equal_a_naive_parse():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        block, known = substrings.Block(), []
+        for row in range(rng.integers(1, 6)):
+            w = rng.integers(0, 6, rng.integers(1, 12)).astype(np.uint64)
+            block.add(row, 10 * row, w)
+            known.append((row, 10 * row, w.tolist()))
+        w = rng.integers(0, 8, rng.integers(1, 15)).astype(np.uint64)
+        got = block.parse(w)
+        assert got == naive_factors(known, w.tolist())
+        covered = {i + k for i, n, _, _ in got for k in range(n)}
+        assert covered == {i for i, x in enumerate(w.tolist()) if any(x in k for _, _, k in known)}  # nothing is lost at factors' boundaries
+
+
 @pytest.mark.parametrize("hot", [1, 1000])
 def test_substrings_equal_brute_force(spark, monkeypatch, hot):
-    """Shared passages of 49, 50 and more words, at edges, with edits, repeats within a text, and copies; HOT of 1 splits every block."""
-    monkeypatch.setattr(substrings, "HOT", hot)
+    """Shared passages of 49, 50 and more words, at edges, with edits, repeats within a text, and copies; HOT of 1 makes keys of two rows hot."""
+    monkeypatch.setattr(common, "HOT", hot)
     rng = random.Random(hot)
     word = lambda: rng.choice("alpha beta gamma delta epsilon zeta eta".split()) + str(rng.randrange(40))
     passages = [[word() for _ in range(n)] for n in (49, 50, 51, 80, 200)]
@@ -236,6 +268,18 @@ def test_substrings_equal_brute_force(spark, monkeypatch, hot):
     assert got == brute_removed(docs)
 
 
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_substrings_of_repeated_rows(spark, monkeypatch, hot):
+    """Rows that repeat in doc_id and text, null doc_ids with one text, and a copy of these in a smaller row."""
+    monkeypatch.setattr(common, "HOT", hot)
+    text = " ".join(f"w{i}" for i in range(120))
+    rows = [(7, "x " + text)] * 5 + [(None, text)] * 4 + [(3, text[:300])] + [(8, "y " + text[-200:])] * 2
+    got = {(r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    n = len(text[:300].split()) - 1  # its last word is cut
+    removed = {(r[0], r[1]): r[2] for r in got}
+    assert len(got) == 4 and removed[7, 121] in (n, n + 1) and removed[None, 120] == 120 and removed[3, n + 1] == 0
+
+
 def test_window_hashes_hang_on_their_values_alone():
     h = np.random.default_rng(0).integers(0, 1 << 63, 300).astype(np.uint64)
     both = np.concatenate([h, h])

@@ -102,11 +102,13 @@ def ranges(sample: DataFrame, n: int, least: tuple[int, int] | None = None) -> R
     return Ranges(starts)
 
 
-def heavy(rows: DataFrame, keys: list[str], spark: SparkSession, n: str = "n") -> list | None:
-    """Of rows (keys, and their count n), the keys that hold over a fourth of an even share: at most four times as many as partitions."""
-    parts = 4 * partitions(spark)
-    total = rows.agg(F.sum(n)).first()[0] or 0
-    return rows.where(F.col(n) > max(10_000, total // parts)).select(*keys).collect()
+#: Rows of one key that a task takes as any others.
+HOT = 10_000
+
+
+def heavy(rows: DataFrame, keys: list[str]) -> list:
+    """Of rows (keys, and their count n), the keys of most rows, if over HOT: at most four for each partition. No other holds more than a fourth of an even share."""
+    return rows.where(F.col("n") > HOT).orderBy(F.desc("n"), *keys).limit(4 * partitions(rows.sparkSession)).select(*keys).collect()
 
 
 def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], hot: list, how: str = "inner") -> DataFrame:

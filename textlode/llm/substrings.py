@@ -8,13 +8,16 @@ words also start in a document with a smaller doc_id.
   2. Anchors index the reference: of every window, the GRAM-word run of smallest hash (of the first, in a tie). The choice hangs
      on the window's words alone, so equal windows have equal anchors at the same place. Anchors held by one document only
      can't lie in a duplicate.
-  3. At each anchor that documents share, the text is factored against the reference block of that anchor: the windows that
-     chose it, in ascending doc_id. Equal blocks of windows are merged before they meet. A factor of at least WINDOW words
-     is a run of windows seen in a smaller doc_id; where it starts and ends is decided window by window.
-  4. Runs of a document are united and its words counted and cut.
+  3. At each anchor that documents share, the text around it (the windows that chose it) is parsed greedily against the
+     reference block of that anchor, which is the same of all smaller doc_ids: the longest factor from here on that goes along
+     with the reference's first occurrence, then the next from where it ends. A factor is at least WINDOW words, is compared
+     window by window over its whole length, and where it ends the next window is looked up anew, so what lies across a factor's
+     boundary is found too. Equal blocks of windows are merged before they meet.
+  4. Factors of a document are united and its words counted and cut.
 
-Windows are compared by 64-bit hashes. A block is split by window hash into BUCKETS parts where over HOT contexts meet at an
-anchor, so that one phrase that many documents share does not land in one task.
+Windows are compared by 64-bit hashes of their word sequences. At anchors that hold a large share of all blocks (a phrase in a
+third of all documents) no task sees a block whole: the smallest row of each window is aggregated, map side first, and every
+block keeps the windows that its own row is the first to have; there, factors are runs of windows without a named reference.
 
 A null text has no words. Rows of a null doc_id are never the smaller one, and lose what any row with a doc_id holds; rows that
 repeat a doc_id do not take words from one another. Extra columns are left out of spans() and kept by none of these functions.
@@ -28,11 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, documents, materialize, sliding, windows
+from . import common
+from .common import WordHash, documents, heavy, join_skewed, materialize, sliding, windows
 
 WINDOW, GRAM = 50, 16
 SPAN = WINDOW - GRAM + 1  # runs of GRAM words in a window
-HOT, BUCKETS = 1_000, 64
 #: Stands for a null doc_id, which no doc_id exceeds.
 NOBODY = (1 << 63) - 1
 _HASHES = WordHash(300_000, 5)
@@ -117,93 +120,176 @@ def blocks(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "gram long, row long, key long, start int, windows binary")
 
 
-def _split(parts: DataFrame) -> DataFrame:
-    """The contexts (gram, context, row, windows) of hot anchors in BUCKETS parts by window hash; at: places of a part's windows."""
+def common_prefix(a: np.ndarray, b: np.ndarray) -> int:
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(a[:n] != b[:n])
+    return int(differ[0]) if len(differ) else n
 
-    def run(batches):
-        for b in batches:
-            for gram, context, row, raw in zip(*(b.column(c).to_pylist() for c in ("gram", "context", "row", "windows")), strict=True):
-                w = np.frombuffer(raw, np.uint64)
-                part = (w >> np.uint64(40)) % np.uint64(BUCKETS)
-                own = np.unique(part)
-                yield pa.record_batch(
-                    {
-                        "gram": pa.array([gram] * len(own), pa.int64()),
-                        "part": pa.array(own.astype(np.int32)),
-                        "context": pa.array([context] * len(own), pa.int64()),
-                        "row": pa.array([row] * len(own), pa.int64()),
-                        "windows": pa.array([w[part == p].tobytes() for p in own], pa.binary()),
-                        "at": pa.array([np.flatnonzero(part == p).astype(np.int32).tobytes() for p in own], pa.binary()),
-                    }
-                )
-
-    return parts.mapInArrow(run, "gram long, part int, context long, row long, windows binary, at binary")
+
+class Block:
+    """The reference block of one anchor: what smaller rows have around it."""
+
+    def __init__(self):
+        self.contexts: list[tuple[int, int, np.ndarray]] = []  # row, start in it, windows
+        self.first: dict[int, tuple[int, int]] = {}  # of each window, its first context and place
+
+    def add(self, row: int, start: int, w: np.ndarray) -> None:
+        k = len(self.contexts)
+        self.contexts.append((row, start, w))
+        for i, x in enumerate(w.tolist()):
+            self.first.setdefault(x, (k, i))
+
+    def parse(self, w: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Factors of windows w: place, windows in it, the reference's row and place there. A factor of n windows is n + WINDOW - 1 words."""
+        out, i, listed = [], 0, w.tolist()
+        while i < len(listed):
+            at = self.first.get(listed[i])
+            if at is None:
+                i += 1
+                continue
+            row, start, reference = self.contexts[at[0]]
+            n = common_prefix(w[i:], reference[at[1] :])
+            out.append((i, n, row, start + at[1]))
+            i += n
+        return out
+
+
+_FACTORS = "gram long, context long, places array<int>, sizes array<int>, rows array<long>, froms array<int>"
 
 
 def factor(contexts: DataFrame) -> DataFrame:
-    """Of contexts (gram, part, context, row, windows, at), the places of windows whose hash a smaller row of the same gram and part has: gram, context, row, seen.
+    """_FACTORS of contexts (gram, context, row, start, windows) against those of the same gram and smaller rows, where there are any.
 
-    Contexts of one gram and part come in ascending row. The state is the set of window hashes seen there so far:
-    those of HOT contexts, or of a BUCKETS-th of a hot anchor's distinct windows.
+    Contexts of one gram come in ascending row. The state is the gram's reference block, which heavy() bounds.
     """
 
     def run(batches):
-        key, seen, out, now, fresh = None, set(), [], None, set()
+        key, block, now, fresh, out = None, Block(), None, [], []
         for b in batches:
-            for gram, part, context, row, raw, at in zip(*(b.column(c).to_pylist() for c in ("gram", "part", "context", "row", "windows", "at")), strict=True):
-                if (gram, part) != key:
-                    key, seen, fresh, now = (gram, part), set(), set(), row
+            for gram, context, row, start, raw in zip(*(b.column(c).to_pylist() for c in ("gram", "context", "row", "start", "windows")), strict=True):
+                if gram != key:
+                    key, block, fresh, now = gram, Block(), [], row
                 if row != now:  # windows of one row do not count against it
-                    seen |= fresh
-                    fresh, now = set(), row
-                w = np.frombuffer(raw, np.uint64).tolist()
-                places = np.frombuffer(at, np.int32).tolist() if at is not None else range(len(w))
-                hit = [i for i, x in zip(places, w, strict=True) if x in seen]
-                if hit:
-                    out.append((gram, context, row, np.array(hit, np.int32).tobytes()))
-                fresh.update(w)
+                    for x in fresh:
+                        block.add(*x)
+                    fresh, now = [], row
+                w = np.frombuffer(raw, np.uint64)
+                if found := block.parse(w):
+                    out.append((gram, context, *zip(*found, strict=True)))
+                fresh.append((row, start, w))
                 if len(out) > 20_000:
                     yield flush(out)
                     out = []
         yield flush(out)
 
     def flush(out):
-        return pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["gram", "context", "row", "seen"])
+        types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        return pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], [c.split()[0] for c in _FACTORS.split(", ")])
+
+    spread = contexts.repartition("gram").sortWithinPartitions("gram", "row")
+    return spread.mapInArrow(run, _FACTORS)
+
+
+def factor_apart(contexts: DataFrame) -> DataFrame:
+    """As factor(), of anchors that too many contexts hold: by the smallest row of each window, which is aggregated before it moves."""
+
+    def least(batches):
+        seen: dict = {}
+        for b in batches:
+            for gram, row, raw in zip(*(b.column(c).to_pylist() for c in ("gram", "row", "windows")), strict=True):
+                for x in np.frombuffer(raw, np.int64).tolist():
+                    if seen.get((gram, x), row) >= row:
+                        seen[gram, x] = row
+            if len(seen) > 200_000:
+                yield flush(seen)
+                seen.clear()
+        yield flush(seen)
+
+    def flush(seen):
+        keys = list(seen)
+        return pa.record_batch({"gram": pa.array([k[0] for k in keys], pa.int64()), "w": pa.array([k[1] for k in keys], pa.int64()), "row": pa.array([seen[k] for k in keys], pa.int64())})
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for gram, context, raw, own in zip(*(b.column(c).to_pylist() for c in ("gram", "context", "windows", "own")), strict=True):
+                own = set(own or ())
+                seen = np.array([x not in own for x in np.frombuffer(raw, np.int64).tolist()])
+                edges = np.flatnonzero(np.diff(np.concatenate([[False], seen, [False]]).astype(np.int8)))
+                places, ends = edges[::2].tolist(), edges[1::2].tolist()
+                if places:
+                    out.append((gram, context, places, [e - p for p, e in zip(places, ends, strict=True)], None, None))
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], [c.split()[0] for c in _FACTORS.split(", ")])
+
+    first = contexts.select("gram", "row", "windows").mapInArrow(least, "gram long, w long, row long").groupBy("gram", "w").agg(F.min("row").alias("row"))
+    own = first.groupBy("gram", "row").agg(F.collect_list("w").alias("own"))  # no more than the windows of one document at one anchor
+    return contexts.select("gram", "row", "context", "windows").join(own, ["gram", "row"], "left").select("gram", "context", "windows", "own").mapInArrow(run, _FACTORS)
+
+
+def once(texts: DataFrame) -> DataFrame:
+    """texts (row, key, ...) without rows that repeat within a task, before they are shuffled."""
+
+    def run(batches):
+        seen: set = set()
+        for b in batches:
+            if len(seen) > 1_000_000:
+                seen.clear()
+            take = []
+            for i, k in enumerate(zip(b.column("row").to_pylist(), b.column("key").to_pylist(), strict=True)):
+                if k not in seen:
+                    seen.add(k)
+                    take.append(i)
+            yield b.take(pa.array(take, pa.int64()))
 
-    spread = contexts.repartition("gram", "part").sortWithinPartitions("gram", "part", "row")
-    return spread.mapInArrow(run, "gram long, context long, row long, seen binary")
+    return texts.mapInArrow(run, texts.schema)
 
 
-def spans(docs: DataFrame) -> DataFrame:
-    """row, key, copy, hits of each text, once, from which words may go.
+def spans(docs: DataFrame) -> tuple[DataFrame, list]:
+    """row, key, copy, hits of each text, once, from which words may go; and the (row, key) that very many rows repeat.
 
-    copy: its words are those of a smaller row. hits: runs of windows that a smaller row has, all n from start, or those seen.
+    copy: its words are those of a smaller row. hits: (start, n, factors) of runs of windows that a smaller row has: all n from
+    start, or the factors.
     """
     parsed = materialize(parse(docs), "substring-words")
-    first = parsed.groupBy("same").agg(F.min("row").alias("first"))
-    rows = parsed.select("row", "key", "same", "n_words").join(first, "same").where(f"n_words >= {WINDOW}")
+    repeats = heavy(parsed.groupBy("row", "key").agg(F.count("*").alias("n")), ["row", "key"])
+    first = parsed.groupBy("same").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    same = heavy(first, ["same"])
+    first = first.select("same", "first")
+    rows = join_skewed(parsed.where(f"n_words >= {WINDOW}").select("row", "key", "same"), first, ["same"], same)
     copies = rows.where("first < row").select("row", "key").distinct()
-    own = parsed.select("row", "key", "same", "grams", "places").join(first, "same").where("first = row")
+    own = parsed.where(F.size("grams") > 0).select("row", "key", "same", "grams", "places")
+    texts = keyed(docs)
+    if repeats:
+        own, texts = once(own), once(texts)
+    own = join_skewed(own, first, ["same"], same).where("first = row")
     held = own.select("row", "key", F.explode(F.arrays_zip("grams", "places")).alias("a")).select("row", "key", F.col("a.grams").alias("gram"), F.col("a.places").alias("place"))
-    shared = held.groupBy("gram").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select("gram")
-    places = held.join(shared, "gram").groupBy("row", "key").agg(F.collect_set("place").alias("places"))
-    found = materialize(blocks(keyed(docs).join(places, ["row", "key"])).withColumn("context", F.xxhash64("windows")), "substring-blocks")
-    contexts = materialize(found.groupBy("gram", "context").agg(F.min("row").alias("row"), F.first("windows").alias("windows")), "substring-contexts")
-    crowd = contexts.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram")
-    few = contexts.join(crowd, "gram", "left_anti").select("gram", F.lit(0).alias("part"), "context", "row", "windows", F.lit(None).cast("binary").alias("at"))
-    seen = factor(few.unionByName(_split(contexts.join(crowd, "gram")))).groupBy("gram", "context").agg(F.collect_list("seen").alias("seen"))
-    least = contexts.select("gram", "context", F.col("row").alias("least"))
+    shared = materialize(held.groupBy("gram").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("gram", "n"), "substring-shared")
+    places = join_skewed(held, shared.select("gram"), ["gram"], heavy(shared, ["gram"])).groupBy("row", "key").agg(F.collect_set("place").alias("places"))
+    placed = texts.join(places, ["row", "key"])
+    found = materialize(blocks(once(placed) if repeats else placed).withColumn("context", F.xxhash64("windows")), "substring-blocks")
+    contexts = found.groupBy("gram", "context").agg(F.min(F.struct("row", "start")).alias("at"), F.first("windows").alias("windows"), F.count("*").alias("n"))
+    contexts = materialize(contexts.select("gram", "context", "at.row", "at.start", "windows", "n"), "substring-contexts")
+    counts = contexts.groupBy("gram").agg(F.count("*").alias("n"))
+    crowded = heavy(counts, ["gram"])
+    if crowded:
+        many = counts.where(F.col("n") > common.HOT).select("gram", F.lit(True).alias("crowd"))
+        parted = join_skewed(contexts, many, ["gram"], crowded, "left")
+        factors = factor(parted.where("crowd IS NULL")).unionByName(factor_apart(parted.where("crowd")))
+    else:
+        factors = factor(contexts)
+    told = contexts.select("gram", "context", F.col("row").alias("least")).join(factors, ["gram", "context"], "left")
+    told = told.select("gram", "context", "least", F.when(F.col("places").isNotNull(), F.arrays_zip("places", "sizes")).alias("factors"))
     hits = (
-        found.select("gram", "context", "row", "key", "start", F.expr("octet_length(windows) div 8").cast("int").alias("n"))
-        .join(least, ["gram", "context"])
-        .join(seen, ["gram", "context"], "left")
-        .where((F.col("row") > F.col("least")) | F.col("seen").isNotNull())
-        .select("row", "key", F.struct("start", F.when(F.col("row") > F.col("least"), F.col("n")).alias("n"), "seen").alias("hit"))
+        join_skewed(found.select("gram", "context", "row", "key", "start", F.expr("octet_length(windows) div 8").cast("int").alias("n")), told, ["gram", "context"], heavy(contexts, ["gram", "context"]))
+        .where((F.col("row") > F.col("least")) | F.col("factors").isNotNull())
+        .select("row", "key", F.struct("start", F.when(F.col("row") > F.col("least"), F.col("n")).alias("n"), "factors").alias("hit"))
         .groupBy("row", "key")
         .agg(F.collect_list("hit").alias("hits"))
     )
     kind = hits.schema["hits"].dataType
-    return copies.select("row", "key", F.lit(True).alias("copy"), F.lit(None).cast(kind).alias("hits")).unionByName(hits.select("row", "key", F.lit(False).alias("copy"), "hits"))
+    out = copies.select("row", "key", F.lit(True).alias("copy"), F.lit(None).cast(kind).alias("hits")).unionByName(hits.select("row", "key", F.lit(False).alias("copy"), "hits"))
+    return out, repeats
 
 
 def removed(n: int, copy: bool, hits: list | None) -> np.ndarray:
@@ -212,11 +298,11 @@ def removed(n: int, copy: bool, hits: list | None) -> np.ndarray:
         return np.full(n, n >= WINDOW)
     edges = np.zeros(n + 1, np.int64)
     for hit in hits or ():
-        at = np.arange(hit["n"]) if hit["n"] is not None else np.concatenate([np.frombuffer(s, np.int32) for s in hit["seen"]])
-        at = at + hit["start"]
-        at = at[at + WINDOW <= n]
-        np.add.at(edges, at, 1)
-        np.add.at(edges, at + WINDOW, -1)
+        for place, size in [(0, hit["n"])] if hit["n"] is not None else [(f["places"], f["sizes"]) for f in hit["factors"]]:
+            a, b = hit["start"] + place, min(hit["start"] + place + size, n - WINDOW + 1)
+            if a < b:
+                edges[a] += 1
+                edges[b + WINDOW - 1] -= 1
     return np.cumsum(edges[:-1]) > 0
 
 
@@ -234,7 +320,9 @@ def remove(docs: DataFrame) -> DataFrame:
                 kept.append(b" ".join(w for w, x in zip(words, out.tolist(), strict=True) if not x) if gone[-1] else b" ".join(words))
             yield pa.record_batch({"doc_id": b.column("doc_id"), "n_words": pa.array(n, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
-    return keyed(docs).join(spans(docs), ["row", "key"], "left").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
+    found, repeats = spans(docs)
+    joined = join_skewed(keyed(docs), found, ["row", "key"], repeats, "left").select("doc_id", "text", "copy", "hits")
+    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
