@@ -136,6 +136,29 @@ def test_packing_loses_no_id_and_pads_nothing(spark, sf):
         assert at <= 2048 and at & (at - 1) == 0
 
 
+@pytest.mark.parametrize("rows", [ROWS, []], ids=["odd", "empty"])
+def test_packing_of_odd_rows(spark, rows):
+    """Each row's ids lie in its pieces, once, also where doc_ids are null or repeat."""
+    t = Encoder(P.path("byte_bpe_50k.json"), True).tokenizer
+    want, got = Counter(), Counter()
+    for d, text in rows:
+        want[d] += len(t.encode(text or "", add_special_tokens=False).ids) + 1
+    for r in packing.pack(table(spark, rows), P.path("byte_bpe_50k.json"), True, 1).collect():
+        got[r["doc_id"]] += r["length"]
+    assert got == want
+
+
+def test_ranges_part_keys_evenly(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([5, 5, rng.randrange(100)]), rng.randrange(1000), rng.randrange(1, 50)) for _ in range(3000)]
+    parts = common.ranges(spark.createDataFrame(rows, "a long, b long, weight long"), 10)
+    part = parts.of(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]))
+    weights = np.bincount(part, [r[2] for r in rows])
+    assert len(parts) == 10 and weights.max() < 1.2 * weights.sum() / 10
+    by = sorted(zip([r[:2] for r in rows], part.tolist(), strict=True))
+    assert [p for _, p in by] == sorted(part.tolist())
+
+
 def test_hilbert_is_a_curve():
     grid = np.array([(x, y) for x in range(16) for y in range(16)])
     order = np.argsort(packing.hilbert(grid, 4))
@@ -502,19 +525,41 @@ def test_query_equals_its_sql(spark, sf, name):
 
 
 def test_license_join_equals_brute_force(spark):
+    """Templates with words left out, in any order and wrapped over lines, at any place of a text."""
     rng = random.Random(1)
-    texts = []
-    for _ in range(80):
-        _, words = rng.choice(licenses._SETS)
+    needed, reach = licenses._needed(licenses.TEMPLATES), licenses.REACH
+    texts = [None, "", "one"]
+    for _ in range(150):
+        _, words, _ = rng.choice(needed)
         kept = [w for w in words if rng.random() < rng.choice([0.7, 0.85, 1.0])]
         rng.shuffle(kept)
-        texts.append("first line\n" + " ".join(kept + ["noise"] * rng.randrange(3)) + ".\nUnder the MIT License" * rng.randrange(2))
-    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), {}).collect()
+        some = lambda: [f"n{rng.randrange(9)}" for _ in range(rng.randrange(3 * reach))]
+        all_words = some() + kept + some() + ["Under", "the", "MIT", "License"] * rng.randrange(2) + some()
+        texts.append("".join(w + rng.choice([" ", " ", "\n", ". ", "-"]) for w in all_words))
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), {"the": 5, "license": 3}).collect()
+    assert sum(r["labels"] != r["base_labels"] for r in rows) > 20
     for r in rows:
-        blocks = [set(re.findall("[0-9a-z]+", line.lower())) for line in texts[r["doc_id"]].split("\n")]
-        want = {label for (label, words), need in zip(licenses._SETS, licenses._NEED, strict=True) if any(len(b & set(words)) >= need for b in blocks)}
-        want |= {k for k, p in licenses.PHRASES.items() if p in texts[r["doc_id"]].lower()}
-        assert r["labels"] == ",".join(sorted(want))
+        w = re.findall("[0-9a-z]+", (texts[r["doc_id"]] or "").lower())
+        blocks = [set(w[i : i + 2 * reach]) for i in range(0, len(w), reach)]
+        want = {label for label, words, need in needed if any(len(b & set(words)) >= need for b in blocks)}
+        want |= {k for k, p in licenses.PHRASES.items() if f" {p} " in " " + " ".join(w) + " "}
+        assert r["labels"] == ",".join(sorted(want)) and r["n_words"] == len(w)
+
+
+def test_wrapped_license_texts_are_found(spark):
+    """As they stand in files: wrapped at some 70 columns, behind comment marks, amid code."""
+    texts = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:",
+        "apache-2": "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0",
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:",
+        "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or",
+        "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at http://mozilla.org/MPL/2.0/.",
+        "": "This file is free of charge. You may use it and copy it, and the license is not here.",
+    }
+    for before in (0, 37, 79, 101):
+        rows = [(i, "int x = 1;\n" * before + "".join(f" * {line}\n" for line in t.split("\n")) + "return y;\n" * 60) for i, t in enumerate(texts.values())]
+        got = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), {}).collect()}
+        assert [got[i] for i in range(len(texts))] == list(texts)
 
 
 def test_pipeline(spark, sf):

@@ -99,7 +99,7 @@ def ranges(sample: DataFrame, n: int, least: tuple[int, int] | None = None) -> R
         if passed * n >= len(starts) * total:
             starts.append((a, b))
         passed += weight
-    return Ranges(starts)
+    return Ranges(starts or [(-(1 << 63), -(1 << 63))])
 
 
 #: Rows of one key that a task takes as any others.

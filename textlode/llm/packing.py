@@ -2,9 +2,9 @@
 
 Each text is a hashed vector: square roots of the counts of its byte trigrams in 256 buckets, of length one. A fixed random
 projection to four dimensions and a squashing give coordinates of 8 bits, and their place on the Hilbert curve the key.
-Documents are dealt out by key into as many ranges as there are shuffle partitions, and sorted there by key; bounds of the
-ranges come from percentiles of the keys of every 16th document by hash of doc_id (only where tasks part hangs on them). A key
-that fills several ranges is spread over them by hash of doc_id. Neighbours on the curve follow one another, and the stream of
+Documents are dealt out by key, and where keys are equal by a hash of doc_id and text, into ranges of about as many bytes (as
+many as there are shuffle partitions, more if one would hold over RANGE_BYTES), and sorted there. The ranges come from a sample
+by that hash, some tens of documents a range; only where tasks part hangs on it. Neighbours on the curve follow one another, and the stream of
 their ids is cut every LENGTH ids. What is left at the end of a range is cut into powers of two, so nothing is padded at all.
 
 A document's ids are those of the tokenizer and the end id. Null and empty texts have the end id alone. Null doc_ids and rows
@@ -18,14 +18,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, partitions
+from .common import RANGE_BYTES, documents, partitions, ranges
 from .tokens import Encoder, slices, trim
 
-LENGTH, DIMENSIONS, BITS, SAMPLE = 2048, 4, 8, 16
+LENGTH, DIMENSIONS, BITS = 2048, 4, 8
 _PROJECTION = np.random.default_rng(20).standard_normal((256, DIMENSIONS))
 _PROJECTION -= _PROJECTION.mean(0)  # square-rooted counts share a direction, which would put all texts in one corner
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -74,27 +75,31 @@ def keys(texts: list[str | None]) -> np.ndarray:
     return hilbert(np.minimum((at * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """doc_id, text, key."""
+def ordered(docs: DataFrame) -> DataFrame:
+    """doc_id, text, dealt out and sorted along the curve."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    doc_id = F.col("doc_id").cast("long")
+    hashed = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(doc_id, "text").alias("b"))
+    count, total = hashed.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    n = max(partitions(docs.sparkSession), -(-total // RANGE_BYTES))
 
-    def run(batches):
+    def weighed(batches):
         for b in batches:
-            yield pa.record_batch({"doc_id": b.column("doc_id"), "text": b.column("text"), "key": pa.array(keys(b.column("text").to_pylist()), pa.int64())})
+            texts = b.column("text")
+            bytes_ = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+            yield pa.record_batch({"a": pa.array(keys(texts.to_pylist()), pa.int64()), "b": b.column("b"), "weight": pc.add(bytes_, 1)})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, text string, key long")
+    some = hashed.where(F.pmod("b", F.lit(max(1, count // (64 * n)))) == 0)
+    parts = ranges(some.mapInArrow(weighed, "a long, b long, weight long"), n)
 
+    def deal(batches):
+        for batch in batches:
+            key = keys(batch.column("text").to_pylist())
+            part = parts.of(key, batch.column("b").to_numpy()).astype(np.int32)
+            yield pa.record_batch({"part": pa.array(part), "key": pa.array(key), "b": batch.column("b"), "doc_id": batch.column("doc_id"), "text": batch.column("text")})
 
-def ordered(docs: DataFrame) -> DataFrame:
-    """doc_id, text, dealt out and sorted along the curve."""
-    n = partitions(docs.sparkSession)
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
-    bounds = with_key(some).agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 20_000)).first()[0] or []
-    # at a key that is a bound more than once, ranges first..last are all its own
-    at = F.array(*[F.lit(int(b)) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    first, last = F.size(F.filter(at, lambda b: b < F.col("key"))), F.size(F.filter(at, lambda b: b <= F.col("key")))
-    part = first + F.when(last > first + 1, F.pmod(F.xxhash64("doc_id", "text"), last - first)).otherwise(0)
-    dealt = with_key(docs).withColumn("part", part.cast("int"))
-    return dealt.repartitionById(n, F.least(F.col("part"), F.lit(n - 1))).sortWithinPartitions("key", "doc_id", "text").select("doc_id", "text")
+    dealt = hashed.mapInArrow(deal, "part int, key long, b long, doc_id long, text string")
+    return dealt.repartitionById(len(parts), "part").sortWithinPartitions("key", "b").select("doc_id", "text")
 
 
 @functools.lru_cache(1)
