@@ -492,6 +492,17 @@ def test_paraphrases_without_their_rare_words_are_found(spark):
     assert len(got) >= 0.95 * len(holds)  # a few have a cosine below COSINE
 
 
+@pytest.mark.parametrize("items", [1, 10_000])
+def test_blocks_of_items_change_nothing(spark, monkeypatch, items):
+    """Repeated rows stay, an item without an id is searched, and it does not matter how many items a task is sent."""
+    monkeypatch.setattr(decontamination, "ITEMS", items)
+    text = lambda n, k: " ".join(f"{'abcd'[k]}{i}" for i in range(n))
+    bench = spark.createDataFrame([(9, text(20, 0)), (None, text(25, 1)), (4, text(20, 0)), (7, "")], "item_id long, text string")
+    rows = [(1, "x " * 40 + text(20, 0)), (1, "x " * 40 + text(20, 0)), (None, text(25, 1) + " y" * 30), (None, None), (2, "z " * 50)]
+    got = [(r["doc_id"], r["contaminated"], r["item_id"]) for r in decontamination.search(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, 4), (1, 1, 4), (None, 1, None), (None, 0, None), (2, 0, None)], key=str)
+
+
 def test_no_pair_that_shares_common_words_is_left_out():
     """near() against the longest common subsequence of every item with every passage."""
     rng = random.Random(4)
