@@ -104,6 +104,8 @@ def ranges(sample: DataFrame, n: int, least: tuple[int, int] | None = None) -> R
 
 #: Rows of one key that a task takes as any others.
 HOT = 10_000
+#: Parts that rows of a hot key are dealt over, where there are as many partitions.
+SALTS = 256
 
 
 def heavy(rows: DataFrame, keys: list[str]) -> list:
@@ -112,12 +114,17 @@ def heavy(rows: DataFrame, keys: list[str]) -> list:
 
 
 def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], hot: list, how: str = "inner") -> DataFrame:
-    """left join right (one row a key) where the keys `hot` (see heavy(): a bounded number) are sent to all tasks and not shuffled."""
+    """left join right (one row a key) where rows of the keys `hot` (see heavy(): a bounded number) are dealt over SALTS parts by a hash of the row, and right's are sent to each."""
     if not hot:
         return left.join(right, keys, how)
-    few = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(*keys).schema))
-    some = right.join(few, keys, "left_semi")
-    return left.join(few, keys, "left_semi").join(F.broadcast(some), keys, how).unionByName(left.join(few, keys, "left_anti").join(right, keys, how))
+    spark = left.sparkSession
+    hashes = [r[0] for r in spark.createDataFrame(hot, left.select(*keys).schema).select(F.xxhash64(*keys)).collect()]
+    salts = min(SALTS, partitions(spark))
+    is_hot = F.xxhash64(*keys).isin(hashes)  # another key of the same hash is dealt out as well, on both sides
+    plain = [c for c in left.columns if left.schema[c].dataType.typeName() not in ("array", "map", "struct")]
+    dealt = left.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*plain, F.lit(1)), F.lit(salts))).otherwise(0).cast("int"))
+    sent = right.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(sent, [*keys, "__salt"], how).drop("__salt")
 
 
 def held_out(doc_id="doc_id"):

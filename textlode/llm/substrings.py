@@ -17,7 +17,7 @@ words also start in a document with a smaller doc_id.
 
 Windows are compared by 64-bit hashes of their word sequences. At anchors that hold a large share of all blocks (a phrase in a
 third of all documents) no task sees a block whole: the smallest row of each window is aggregated, map side first, and every
-block keeps the windows that its own row is the first to have; there, factors are runs of windows without a named reference.
+block is told which windows its own row is the first to have; there, factors are runs of windows without a named reference.
 
 A null text has no words. Rows of a null doc_id are never the smaller one, and lose what any row with a doc_id holds; rows that
 repeat a doc_id do not take words from one another. Extra columns are left out of spans() and kept by none of these functions.
@@ -157,6 +157,11 @@ class Block:
 _FACTORS = "gram long, context long, places array<int>, sizes array<int>, rows array<long>, froms array<int>"
 
 
+def packed(factors: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    return pa.record_batch([pa.array([f[i] for f in factors], t) for i, t in enumerate(types)], [c.split()[0] for c in _FACTORS.split(", ")])
+
+
 def factor(contexts: DataFrame) -> DataFrame:
     """_FACTORS of contexts (gram, context, row, start, windows) against those of the same gram and smaller rows, where there are any.
 
@@ -178,13 +183,9 @@ def factor(contexts: DataFrame) -> DataFrame:
                     out.append((gram, context, *zip(*found, strict=True)))
                 fresh.append((row, start, w))
                 if len(out) > 20_000:
-                    yield flush(out)
+                    yield packed(out)
                     out = []
-        yield flush(out)
-
-    def flush(out):
-        types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-        return pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], [c.split()[0] for c in _FACTORS.split(", ")])
+        yield packed(out)
 
     spread = contexts.repartition("gram").sortWithinPartitions("gram", "row")
     return spread.mapInArrow(run, _FACTORS)
@@ -210,21 +211,28 @@ def factor_apart(contexts: DataFrame) -> DataFrame:
         return pa.record_batch({"gram": pa.array([k[0] for k in keys], pa.int64()), "w": pa.array([k[1] for k in keys], pa.int64()), "row": pa.array([seen[k] for k in keys], pa.int64())})
 
     def run(batches):
+        at, own, out = None, set(), []
         for b in batches:
-            out = []
-            for gram, context, raw, own in zip(*(b.column(c).to_pylist() for c in ("gram", "context", "windows", "own")), strict=True):
-                own = set(own or ())
+            for gram, row, context, w, raw in zip(*(b.column(c).to_pylist() for c in ("gram", "row", "context", "w", "windows")), strict=True):
+                if (gram, row) != at:
+                    at, own = (gram, row), set()
+                if raw is None:  # these come first, and are no more than one document has at one anchor
+                    own.add(w)
+                    continue
                 seen = np.array([x not in own for x in np.frombuffer(raw, np.int64).tolist()])
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], seen, [False]]).astype(np.int8)))
                 places, ends = edges[::2].tolist(), edges[1::2].tolist()
                 if places:
                     out.append((gram, context, places, [e - p for p, e in zip(places, ends, strict=True)], None, None))
-            types = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.record_batch([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], [c.split()[0] for c in _FACTORS.split(", ")])
+                if len(out) > 20_000:
+                    yield packed(out)
+                    out = []
+        yield packed(out)
 
     first = contexts.select("gram", "row", "windows").mapInArrow(least, "gram long, w long, row long").groupBy("gram", "w").agg(F.min("row").alias("row"))
-    own = first.groupBy("gram", "row").agg(F.collect_list("w").alias("own"))  # no more than the windows of one document at one anchor
-    return contexts.select("gram", "row", "context", "windows").join(own, ["gram", "row"], "left").select("gram", "context", "windows", "own").mapInArrow(run, _FACTORS)
+    nothing = lambda kind: F.lit(None).cast(kind)
+    both = first.select("gram", "row", nothing("long").alias("context"), "w", nothing("binary").alias("windows")).unionByName(contexts.select("gram", "row", "context", nothing("long").alias("w"), "windows"))
+    return both.repartition("gram", "row").sortWithinPartitions("gram", "row", F.col("windows").asc_nulls_first()).mapInArrow(run, _FACTORS)
 
 
 def once(texts: DataFrame) -> DataFrame:
