@@ -1,0 +1,200 @@
+"""Rule packs, settings, ignore files, walking, reports and the command line."""
+
+import json
+import os
+import subprocess
+
+import pytest
+
+import textlode
+from textlode import cli, config, packs
+from textlode.operators import classify
+from textlode.rules import RULES, lint
+from textlode.sources import readers
+
+PACK = """
+- id: MY-RULE-001
+  title: A word
+  pack: mine/words
+  severity: high
+  confidence: medium
+  owner: "@me"
+  applies_to: {kind: [doc, data], tags_none: [lockfile]}
+  keywords: [Word]
+  keywords_case: sensitive
+  match:
+    multiline: {pattern: 'Word\\n(?P<next>\\w{1,20})', max_span_lines: 2}
+  message: Word before {{next}}
+  fixtures: auto
+"""
+
+
+def test_packs(tmp_path):
+    rule = packs.parse(PACK, "p.yaml")[0]
+    assert (rule.id, rule.kinds, rule.tags_none, rule.keywords, rule.keywords_exact) == ("MY-RULE-001", ("doc", "data"), ("lockfile",), ("Word",), True)
+    assert rule.match == {"multiline": {"pattern": r"Word\n(?P<next>\w{1,20})", "max_lines": 2}}
+    os.makedirs(tmp_path / "a")
+    (tmp_path / "a/p.yaml").write_text(PACK)
+    (tmp_path / "a/q.json").write_text(json.dumps([{"id": "MY-RULE-002", "title": "t", "pack": "mine", "severity": "low", "confidence": "low", "match": {"any": [{"regex": {"pattern": "abc"}}, {"unicode": {"classes": ["ZW"]}}]}}]))
+    every = packs.load_rules(str(tmp_path / "a"), base=RULES)
+    assert len(every) == len(RULES) + 2
+    digest = packs.write_bundle(every, str(tmp_path / "b.json"))
+    again = packs.read_bundle(str(tmp_path / "b.json"))
+    assert sorted(again, key=lambda r: r.id) == sorted(every, key=lambda r: r.id) and packs.bundle(again)["hash"] == digest
+    assert packs.bundle(every)["packs"]["mine/words"] == 1
+    (tmp_path / "b.json").write_text((tmp_path / "b.json").read_text().replace("A word", "Two words"))
+    for bad in (lambda: packs.read_bundle(str(tmp_path / "b.json")), lambda: packs.load_rules(str(tmp_path / "a"), str(tmp_path / "a"))):
+        with pytest.raises(packs.PackError):
+            bad()
+
+
+@pytest.mark.parametrize("old,new", [("severity: high", "severity: huge"), ("id: MY", "id: my"), ("owner:", "owned:"), ("kind:", "sort:"), ("  message:", "  message: x\n  message:"), ("Word\\n", "(a+)+"), ("multiline", "yaml_path")])
+def test_packs_are_checked(old, new):
+    with pytest.raises(packs.PackError):
+        packs.parse(PACK.replace(old, new), "p.yaml")
+
+
+def test_json_depth():
+    assert packs.depth_of('{"a": [["]"]], "b": "[[[["}') == 3
+    with pytest.raises(packs.PackError):
+        packs.parse("[" * 70 + "]" * 70, "x.json")
+
+
+def test_fixtures_and_slow_patterns(tmp_path):
+    for name, text in (("positive.py", "x = eval(y)"), ("negative.py", "model.eval()"), ("negative-wrong.py", "eval(z)")):
+        os.makedirs(tmp_path / "IN-EVAL", exist_ok=True)
+        (tmp_path / "IN-EVAL" / name).write_text(text)
+    cases = packs.evaluate(RULES, packs.fixtures(str(tmp_path)))
+    assert [(c.name, c.right) for c in cases] == [("negative-wrong.py", False), ("negative.py", True), ("positive.py", True)]
+    assert 'failures="1"' in packs.junit(cases)
+    slow = packs.Rule("X-Y", "", "p", "low", "low", {"regex": {"pattern": r"(?:a|aa)+$x"}})
+    assert packs.slow_patterns(slow, 0.3, ["a" * 5000]) and not packs.slow_patterns(RULES[0], 2.0, ["ignore " * 2000])
+
+
+@pytest.mark.parametrize("pattern,code", [("(a+)+b", "R2"), (r"\s+x", "R3"), ("a*", "R4"), ("(?s)a.{1,9}b", "R5"), ("a[^b]{0,5000}c", "R6"), ("(?:ab|[a-c]d)+x", "R7"), ("(", "R1"), (r"x(?:a|b){1,9}", None), (r"ab[^\n]{0,200}c", None)])
+def test_lint(pattern, code):
+    found = {x[:2] for x in lint(pattern)}
+    assert found == (set() if code is None else {code}) or code in found and code == "R3"
+
+
+def test_sizes():
+    assert [config.parse_size(x) for x in ("123", 7, "512K", "1.5MB", "2GiB")] == [123, 7, 512 << 10, 1_500_000, 2 << 30]
+    for bad in ("x", "1iB", "-1", True):
+        with pytest.raises(config.ConfigError):
+            config.parse_size(bad)
+
+
+def test_settings_in_layers(tmp_path):
+    os.makedirs(tmp_path / "p/.textlode")
+    os.makedirs(tmp_path / "p/below")
+    (tmp_path / "p/.textlode/config.toml").write_text('[scan]\nfail_on = "critical"\nmax_file_bytes = "2K"\n[rules]\nextra_dirs = ["/x"]\ndisable = ["A"]\n[severity.overrides]\n"SE-*" = "low"\n')
+    (tmp_path / "user.toml").write_text('[scan]\nmin_confidence = "medium"\n[rules]\ndisable = ["B"]\n')
+    at = config.find_project(str(tmp_path / "p/below"))
+    c = config.load(at, str(tmp_path / "user.toml"), {"TEXTLODE_RULES_DISABLE": "C, D", "TEXTLODE_SCAN_MAX_FILES": "9"}, {"scan.min_severity": "high", "scan.packs": None})
+    assert (c["scan.fail_on"], c["scan.max_file_bytes"], c["scan.min_confidence"], c["scan.min_severity"], c["scan.max_files"]) == ("critical", 2048, "medium", "high", 9)
+    assert c["rules.disable"] == ["B", "A", "C", "D"] and c["rules.extra_dirs"] == [] and c["severity.overrides"] == {"SE-*": "low"}
+    assert [code for code, _ in c.notes] == ["config-weakened", "config-untrusted", "config-weakened", "config-weakened"]
+    assert config.load(at, trusted=True)["rules.extra_dirs"] == ["/x"]
+    for text in ('scan = 1', '[scan]\nnone = 1', '[scan]\nfail_on = "x"', '[scan]\nfollow_symlinks = 1', '['):
+        (tmp_path / "bad.toml").write_text(text)
+        with pytest.raises(config.ConfigError):
+            config.load(str(tmp_path / "bad.toml"))
+
+
+def test_walk(tmp_path):
+    os.makedirs(tmp_path / "a/b")
+    for name in ("a/x", "a/b/y", "a-z", "B"):
+        (tmp_path / name).write_text(name)
+    os.symlink(tmp_path / "a/x", tmp_path / "link")
+    os.symlink(tmp_path, tmp_path / "a/up")
+    os.symlink("/etc/hostname", tmp_path / "out")
+    plain = list(readers.walk(str(tmp_path)))
+    assert [p for p, note in plain if note is None] == ["B", "a/b/y", "a/x", "a-z"] and {p for p, note in plain if note} == {"link", "a/up", "out"}
+    followed = dict(readers.walk(str(tmp_path), follow=True))
+    assert followed == {"B": None, "a/b/y": None, "a/x": None, "a-z": None, "link": "a link to a file that was met", "a/up": "a link in a circle", "out": "a link that leads outside"}
+    assert dict(readers.walk(str(tmp_path), most_depth=1))["a/b"] == "too deep"
+
+
+def test_ignore_sections_and_includes(spark):
+    told = readers.sections("*.log\n# note\n\n#!rules IN-*, SE-AWS\ngen/\n!gen/keep/\n#!rules\nlast \n")
+    assert told == [("*.log", None), ("gen/", ("IN-*", "SE-AWS")), ("!gen/keep/", ("IN-*", "SE-AWS")), ("last", None)]
+    rows = [("IN-EVAL", "gen/a.py"), ("SE-URI", "gen/a.py"), ("SE-AWS", "x/gen/b"), ("IN-EVAL", "src/gen"), ("IN-EVAL", "gen/keep/c")]
+    left = readers.without_ignored(spark.createDataFrame(rows, "rule_id string, path string"), told)
+    assert sorted(map(tuple, left.collect())) == [("IN-EVAL", "src/gen"), ("SE-URI", "gen/a.py")]
+    paths = ["node_modules/x", "a/dist/y", "src/build", ".git/config", "a/.git", "keep/z", "lib/foo/bar", "lib/foobar"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    ignored = {r[0] for r in df.where(readers.ignored(df["path"], [*readers.BUILTIN, "!dist/", "lib/foo**"])).collect()}
+    assert ignored == {"node_modules/x", ".git/config", "a/.git", "lib/foo/bar", "lib/foobar"}
+    assert {r[0] for r in df.where(readers.included(df["path"], ["lib/", "keep/*"])).collect()} == {"keep/z", "lib/foo/bar", "lib/foobar"}
+
+
+def test_running_caps(spark):
+    rows = [(f"d{i % 7}/f{i}", i) for i in range(200)]
+    order = sorted(rows, key=lambda r: r[0].replace("/", "\0"))
+    total, want = 0, {}
+    for n, (p, size) in enumerate(order, 1):
+        total += size
+        want[p] = (n, total)
+    got = {r["path"]: (r["n"], r["total"]) for r in readers.running(spark.createDataFrame(rows, "path string, length long")).collect()}
+    assert got == want
+
+
+def test_quoted_names_and_history(spark):
+    assert readers.unquoted('"b/\\303\\251 \\"x\\".txt"') == 'b/é "x".txt' and readers.unquoted("b/y z\t") == "b/y z"
+    diff = '--- a/x\n+++ "b/\\303\\251"\n@@ -1,0 +2,2 @@\n+++ not a header\n+b\n@@ -3 +4,0 @@\n-c\n--- a/gone\n+++ /dev/null\n@@ -1 +0,0 @@\n-x'
+    assert [tuple(r) for r in readers.hunks(spark.createDataFrame([(diff,)], "text string")).collect()] == [("é", 2, 3)]
+    log = "commit " + "a" * 40 + "\n--- a/x.py\n+++ b/x.py\n@@ -0,0 +5,2 @@\n+y = 1\n+eval(z)\n"
+    docs = readers.history_documents(readers.history(spark.createDataFrame([(1, log)], "log_id int, text string")))
+    found = readers.rebased(spark.createDataFrame([(docs.first()["path"], 2, 2)], "path string, line int, end_line int"), docs).collect()
+    assert [(r["path"], r["line"], r["end_line"], r["commit"]) for r in found] == [("x.py", 6, 6, "a" * 40)]
+
+
+@pytest.mark.parametrize(
+    "path,text,want",
+    [
+        ("k/a.yaml", "apiVersion: v1\nkind: Pod\n---\napiVersion: rbac/v1\nkind: ClusterRole\n", ("yaml", "iac", {"k8s", "rbac"})),
+        ("k/a.yaml", "apiVersion: tekton.dev/v1\nkind: Task\n", ("yaml", "ci", {"tekton"})),
+        ("k/a.yml", "on: push\njobs:\n  x: 1\n", ("yaml", "ci", {"gha"})),
+        ("k/a.yml", "services:\n  a:\n    image: x\n", ("yaml", "iac", {"compose"})),
+        ("k/a.yml", "services:\n  a: 1\n", ("yaml", "data", set())),
+        ("k/a.yml", "- hosts: all\n  tasks: []\n", ("yaml", "iac", {"ansible"})),
+        ("a.json", '{"mcpServers": {}}', ("json", "agent-config", {"mcp"})),
+        ("a.json", '{"format_version": "1", "terraform_version": "1"}', ("json", "iac", {"terraform", "terraform-plan"})),
+        ("a.py", "import os, ccxt\nfrom langchain_core import x\nfrom google.cloud import aiplatform\n", ("python", "code", {"trading", "llm"})),
+        ("a.scala", "import org.apache.spark.sql._", ("scala", "code", {"spark"})),
+        ("run", "#!/usr/bin/env bash\n", ("shell", "code", set())),
+        ("tests/test_a.py", "# @generated\n", ("python", "code", {"test", "generated"})),
+        ("<stdin>", '{"mcpServers": 1}', ("json", "agent-config", {"mcp"})),
+        ("c/values-x.yaml", "a: 1", ("yaml", "iac", {"helm"})),
+        ("c/templates/d/x.yaml", "a: 1", ("yaml", "iac", {"helm", "helm-template"})),
+        ("x/prod.env.example", "A=1", ("dotenv", "data", {"env", "example"})),
+        ("q/special.bin2", "x", ("hcl", "iac", {"mine"})),
+    ],
+)
+def test_classify(path, text, want):
+    lang, kind, tags = classify.classify(path, text, (("*.bin2", "hcl", "iac", ("mine",)),), frozenset({"c"}))
+    assert (lang, kind, set(tags)) == want
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "none"))
+    os.makedirs(tmp_path / "r/src")
+    os.makedirs(tmp_path / "r/node_modules")
+    (tmp_path / "r/src/a.py").write_text("x = eval(y)\nos.system(z)\n")
+    (tmp_path / "r/node_modules/b.py").write_text("eval(y)")
+    (tmp_path / "r/.textlodeignore").write_text("#!rules IN-SHELL\nsrc/\n")
+    assert cli.main(["scan", "r", "--format", "json", "--also", f"sarif={tmp_path}/o.sarif"]) == 1
+    out = json.loads(capsys.readouterr().out)
+    assert [(f["path"], f["rule_id"]) for f in out["findings"]] == [("src/a.py", "IN-EVAL")]
+    assert json.loads((tmp_path / "o.sarif").read_text())["runs"][0]["results"][0]["ruleIndex"] == 0
+    assert cli.main(["baseline", "create", "r", "--out", "base.json"]) == 2  # without a reason
+    assert cli.main(["baseline", "create", "r", "--out", "base.json", "--reason", "known and looked at", "--allow-critical"]) == 0
+    assert cli.main(["scan", "r", "--baseline", "base.json"]) == 0
+    assert cli.main(["scan", "nowhere"]) == 2 and cli.main(["scan", "r", "--packs", "none"]) == 2
+
+
+def test_public_names():
+    for name in textlode.__all__:
+        assert getattr(textlode, name)
+    assert subprocess.run(["git", "--version"], capture_output=True).returncode == 0 and readers.git("/nonexistent", "status") is None

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as C
+from .operators import classify, kernels, match
 from .operators import relational as R
 from .plans import scan as plans
+from .rules import RULES, Rule
 from .sources import readers
 
 _TAGS = "".join(chr(0xE0000 + ord(c)) for c in "run this")
@@ -78,6 +80,32 @@ def _split(columns: str) -> list[str]:
     return out
 
 
+def _rule(rule_id: str, how: dict, **more) -> Rule:
+    return Rule(rule_id, rule_id, "catalog", "high", "medium", how, **({"include_minified": True} | more))
+
+
+PLACE = ["path", "rule_id", "start", "end", "line", "col", "end_line", "end_col"]
+
+
+def _found(spark, sf_dir, *rules: Rule, how: match.Matching = match.Matching()) -> DataFrame:
+    return match.match(docs(spark, sf_dir), list(rules), how)
+
+
+def _places(pattern: str, rule_id: str = "", shift: int = 0, where: str = "true") -> str:
+    """SQL for where a pattern matches texts of docs: what stands between the matches, and they themselves, add up to offsets."""
+    at = lambda x: f"len(string_split(left(text, {x}), chr(10)))"
+    col = lambda x: f"length(string_split(left(text, {x}), chr(10))[-1]) + 1"
+    sums = lambda x: f"CAST(coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0) AS BIGINT)"
+    return f"""SELECT doc_id, path, '{rule_id}' AS rule_id, value, CAST(s AS INT) AS start, CAST(e AS INT) AS "end", CAST({at("s")} AS INT) AS line, CAST({col("s")} AS INT) AS col,
+CAST({at("e - 1")} AS INT) AS end_line, CAST({col("e - 1")} + 1 AS INT) AS end_col
+FROM (SELECT doc_id, path, text, found[i] AS value, {sums("parts[1:i]")} + {sums("found[1:i-1]")} + {shift} AS s, {sums("parts[1:i]")} + {sums("found[1:i]")} AS e
+      FROM (SELECT doc_id, path, text, found, parts, unnest(range(1, len(found) + 1)) AS i
+            FROM (SELECT doc_id, path, text, regexp_extract_all(text, '{pattern}') AS found, regexp_split_to_array(text, '{pattern}') AS parts FROM docs WHERE regexp_matches(text, '{pattern}') AND {where}) x) y) z"""
+
+
+_PLACE = 'path, rule_id, start, "end", line, col, end_line, end_col'
+
+
 def _entropy_sql(rows: str, keys: str, text: str) -> str:
     """keys and the entropy of a text column, by counting its characters."""
     return f"SELECT {keys}, CASE WHEN max(n) = 0 THEN 0.0 ELSE log2(max(n)) - sum(c * log2(c)) / max(n) END AS h FROM (SELECT {keys}, ch, count(*) AS c, any_value(n) AS n FROM (SELECT {keys}, length({text}) AS n, unnest(string_split({text}, '')) AS ch FROM {rows}) a GROUP BY {keys}, ch) b GROUP BY {keys}"
@@ -126,35 +154,8 @@ _KEYWORDS = ["eval", "token", "ignore", "execute", "yaml", "akia", "://", "passw
 
 @query(f"WITH {_DOCS}, k(keyword) AS (VALUES {', '.join(f"('{k}')" for k in _KEYWORDS)}) SELECT keyword, CAST(count(*) AS BIGINT) AS documents FROM docs, k WHERE contains(lower(text), keyword) GROUP BY keyword")
 def keyword_prefilter(spark, sf_dir):
-    low = docs(spark, sf_dir).select(F.lower("text").alias("low"))
-    hits = low.select(F.explode(F.array_compact(F.array(*[F.when(F.contains("low", F.lit(k)), k) for k in _KEYWORDS]))).alias("keyword"))
-    return hits.groupBy("keyword").agg(F.count("*").alias("documents"))
-
-
-@query(f"""WITH {_DOCS}, {_LINE_ROWS} SELECT doc_id, line, CAST(len(regexp_extract_all(line_text, '(?:eval|exec|execute|system|load)[(]')) AS INT) AS hits
-FROM lines WHERE regexp_matches(line_text, '(?:eval|exec|execute|system|load)[(]')""")
-def rule_hits_by_line(spark, sf_dir):
-    n = F.regexp_count("line_text", F.lit("(?:eval|exec|execute|system|load)[(]"))
-    return by_line(spark, sf_dir).where(F.col("line_text").rlike("(?:eval|exec|execute|system|load)[(]")).select("doc_id", "line", n.alias("hits"))
-
-
-_OVERRIDE = "(?i)(?:ignore|disregard|forget)[^.!?]{0,120}?(?:previous|prior|above)[ ]{1,8}(?:instructions|rules)"
-
-
-@query(f"WITH {_DOCS} SELECT doc_id, CAST(len(regexp_extract_all(text, '{_OVERRIDE}')) AS INT) AS hits, strpos(text, regexp_extract(text, '{_OVERRIDE}')) AS first FROM docs WHERE regexp_matches(text, '{_OVERRIDE}')")
-def override_phrase(spark, sf_dir):
-    d = docs(spark, sf_dir).where(F.col("text").rlike(_OVERRIDE))
-    return d.select("doc_id", F.regexp_count("text", F.lit(_OVERRIDE)).alias("hits"), F.instr("text", F.regexp_extract("text", _OVERRIDE, 0)).cast("long").alias("first"))
-
-
-@query(f"""WITH {_DOCS}, {_LINE_ROWS}, a AS (SELECT doc_id, line FROM lines WHERE starts_with(line_text, 'begin step')), b AS (SELECT doc_id, line FROM lines WHERE starts_with(line_text, 'finish step')),
-n AS (SELECT a.doc_id, a.line, min(b.line) AS last FROM a JOIN b ON a.doc_id = b.doc_id AND b.line > a.line GROUP BY a.doc_id, a.line) SELECT doc_id, line, last FROM n WHERE last - line <= 3""")
-def sequence_within_lines(spark, sf_dir):
-    """A forward as-of join within each document, as one window: of each start the next end, if it is near enough."""
-    marks = by_line(spark, sf_dir).where(F.col("line_text").rlike("^(begin|finish) step"))
-    after = Window.partitionBy("doc_id").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    last = F.min(F.when(F.col("line_text").startswith("finish"), F.col("line"))).over(after)
-    return marks.withColumn("last", last).where(F.col("line_text").startswith("begin") & (F.col("last") - F.col("line") <= 3)).select("doc_id", "line", "last")
+    rules = [_rule(k, {"regex": {"pattern": "x"}}, keywords=(k,)) for k in _KEYWORDS]
+    return match.awake(docs(spark, sf_dir), rules).groupBy(F.col("rule_id").alias("keyword")).agg(F.count("*").alias("documents"))
 
 
 def _two(spark, sf_dir):
@@ -177,12 +178,6 @@ def near_lines_anti(spark, sf_dir):
     return R.near(a, b, "doc_id", 1, without=True).select("doc_id", "line")
 
 
-@query(f"WITH {_DOCS} SELECT doc_id, path FROM docs WHERE (regexp_matches(text, 'eval[(]') OR regexp_matches(text, 'begin step')) AND NOT regexp_matches(text, '[|]')")
-def any_and_not(spark, sf_dir):
-    t = F.col("text")
-    return docs(spark, sf_dir).where((t.rlike("eval[(]") | t.rlike("begin step")) & ~t.rlike("[|]")).select("doc_id", "path")
-
-
 @query(f"WITH {_DOCS} SELECT doc_id, " + ", ".join(f"CAST(len(regexp_extract_all(text, '[{C.HIDDEN[k]}]')) AS BIGINT) AS {k.lower()}" for k in C.HIDDEN) + f" FROM docs WHERE regexp_matches(text, '[{''.join(C.HIDDEN.values())}]')")
 def hidden_counts(spark, sf_dir):
     d = docs(spark, sf_dir).where(F.col("text").rlike(f"[{''.join(C.HIDDEN.values())}]"))
@@ -197,14 +192,6 @@ def tag_decode(spark, sf_dir):
     return docs(spark, sf_dir).where(F.col("text").rlike("[\\x{E0000}-\\x{E007F}]")).select("doc_id", C.decode_tags(F.col("text")).alias("decoded"))
 
 
-@query(f"""WITH {_DOCS}, {_LINE_ROWS} SELECT doc_id, line, CAST(len(regexp_extract_all(line_text, '[\\x{{202A}}\\x{{202B}}\\x{{202D}}\\x{{202E}}\\x{{2066}}-\\x{{2068}}]')) AS INT) AS opened,
-CAST(len(regexp_extract_all(line_text, '[\\x{{202C}}\\x{{2069}}]')) AS INT) AS closed FROM lines WHERE regexp_matches(line_text, '[{C.HIDDEN["BIDI"]}]')""")
-def bidi_lines(spark, sf_dir):
-    rows = by_line(spark, sf_dir).where(F.col("line_text").rlike(f"[{C.HIDDEN['BIDI']}]"))
-    n = lambda x: F.regexp_count("line_text", F.lit(f"[{x}]"))
-    return rows.select("doc_id", "line", n("\\x{202A}\\x{202B}\\x{202D}\\x{202E}\\x{2066}-\\x{2068}").alias("opened"), n("\\x{202C}\\x{2069}").alias("closed"))
-
-
 _ALIKE = "[A-Za-z]*[" + C.CONFUSABLE[0] + "]+[A-Za-z" + C.CONFUSABLE[0] + "]*"
 
 
@@ -223,23 +210,13 @@ def _kind_case(i: int) -> str:
 
 @query(f"WITH {_DOCS} SELECT doc_id, path, {_kind_case(0)} AS lang, {_kind_case(1)} AS kind FROM docs")
 def classify_path(spark, sf_dir):
-    return plans.classified(docs(spark, sf_dir)).select("doc_id", "path", "lang", "kind")
+    return classify.classified(docs(spark, sf_dir)).select("doc_id", "path", "lang", "kind")
 
 
 @query(f"""WITH {_DOCS}, c AS (SELECT *, {_kind_case(2)} AS tag, len(string_split(left(text, 65536), chr(10))) AS n FROM docs)
 SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter([nullif(tag, ''), CASE WHEN length(text) > 20480 AND length(left(text, 65536)) / n > 1000 THEN 'minified' END], lambda x: x IS NOT NULL))), ',') AS tags FROM c""")
 def classify_flags(spark, sf_dir):
-    return plans.classified(docs(spark, sf_dir)).select("doc_id", F.array_join("tags", ",").alias("tags"))
-
-
-@query(f"""WITH {_DOCS}, r(rule_id, kinds, lang) AS (VALUES ('python', ['code'], 'python'), ('config', ['iac', 'ci'], NULL), ('all', [], NULL)),
-c AS (SELECT doc_id, {_kind_case(0)} AS lang, {_kind_case(1)} AS kind FROM docs)
-SELECT rule_id, kind, CAST(count(*) AS BIGINT) AS documents FROM c, r WHERE (len(kinds) = 0 OR list_contains(kinds, kind)) AND (r.lang IS NULL OR r.lang = c.lang) GROUP BY rule_id, kind""")
-def applicability(spark, sf_dir):
-    rules = spark.createDataFrame([("python", ["code"], "python"), ("config", ["iac", "ci"], None), ("all", [], None)], "rule_id string, kinds array<string>, only string")
-    d = plans.classified(docs(spark, sf_dir)).select("lang", "kind")
-    on = ((F.size("kinds") == 0) | F.array_contains("kinds", F.col("kind"))) & (F.col("only").isNull() | (F.col("only") == F.col("lang")))
-    return d.join(F.broadcast(rules), on).groupBy("rule_id", "kind").agg(F.count("*").alias("documents"))  # three rules
+    return classify.classified(docs(spark, sf_dir)).select("doc_id", F.array_join("tags", ",").alias("tags"))
 
 
 _GRID = "CASE CAST(l_linenumber % 5 AS INT) WHEN 0 THEN 'critical' WHEN 1 THEN 'high' WHEN 2 THEN 'medium' WHEN 3 THEN 'low' ELSE 'info' END AS base, CASE CAST(l_partkey % 3 AS INT) WHEN 0 THEN 'tainted' WHEN 1 THEN 'unknown' ELSE 'constant' END AS reach, CASE CAST(l_suppkey % 5 AS INT) WHEN 0 THEN 'internet' WHEN 1 THEN 'default' WHEN 2 THEN 'internal' WHEN 3 THEN 'vendored' ELSE 'test' END AS exposure, l_orderkey % 2 = 0 AS sensitive, CAST(l_orderkey % 3 AS INT) AS c, CAST(l_partkey % 5 AS INT) - 2 AS delta"
@@ -353,9 +330,19 @@ def redact_values(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", C.redact(value).alias("redacted"))
 
 
-@query(f"WITH {_SPANS} SELECT CASE rule_id WHEN 'R0' THEN 'critical' WHEN 'R1' THEN 'high' WHEN 'R2' THEN 'medium' ELSE 'low' END AS severity, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (ordinal % 5 = 0) AS BIGINT) AS suppressed FROM spans GROUP BY 1")
+@query(f"WITH {_SPANS}, f AS (SELECT CASE rule_id WHEN 'R0' THEN 'critical' WHEN 'R1' THEN 'high' WHEN 'R2' THEN 'medium' ELSE 'low' END AS severity, ordinal % 5 = 0 AS off FROM spans) SELECT CAST(count(*) AS BIGINT) AS findings, CAST(count(*) FILTER (off) AS BIGINT) AS suppressed, " + ", ".join(f"CAST(count(*) FILTER (NOT off AND severity = '{x}') AS BIGINT) AS {x}" for x in C.SEVERITIES) + " FROM f")
 def stats_by_severity(spark, sf_dir):
-    return _findings(spark, sf_dir).groupBy("severity").agg(F.count("*").alias("n"), F.count("suppressed").alias("suppressed"))
+    return R.stats(_findings(spark, sf_dir))
+
+
+@query(f"WITH {_SPANS} SELECT CAST(count(*) FILTER (ordinal % 5 = 0) AS BIGINT) AS inline, CAST(0 AS BIGINT) AS baseline FROM spans")
+def suppressed_by_kind(spark, sf_dir):
+    return R.suppressed_by_kind(_findings(spark, sf_dir))
+
+
+@query(f"WITH {_SPANS} SELECT rule_id, CAST(count(*) AS BIGINT) AS hits FROM spans GROUP BY rule_id ORDER BY hits DESC, rule_id LIMIT 2")
+def rule_profile(spark, sf_dir):
+    return R.profile(_findings(spark, sf_dir), 2)
 
 
 def _findings(spark, sf_dir):
@@ -374,16 +361,18 @@ def exit_gate(spark, sf_dir):
     return R.gate(_findings(spark, sf_dir))
 
 
-@query("""WITH j AS (SELECT regexp_matches(text, '[*]{3}|[$]{3}|!!') AS flagged, quality = 0 AS bad FROM documents JOIN labels USING (doc_id)), c AS (SELECT count(*) FILTER (flagged AND bad) AS tp, count(*) FILTER (flagged AND NOT bad) AS fp, count(*) FILTER (NOT flagged AND bad) AS fn FROM j)
-SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round((tp / (tp + fp) + 1.9208 / (tp + fp) - 1.96 * sqrt(tp / (tp + fp) * (1 - tp / (tp + fp)) / (tp + fp) + 0.9604 / (tp + fp) / (tp + fp))) / (1 + 3.8416 / (tp + fp)), 6) AS wilson FROM c""")
+@query("""WITH j AS (SELECT lang, regexp_matches(text, '[*]{3}|[$]{3}|!!') AS found, quality = 0 AS bad, len(string_split(text, chr(10))) AS lines FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT lang, count(*) FILTER (found AND bad) AS tp, count(*) FILTER (found AND NOT bad) AS fp, count(*) FILTER (NOT found AND bad) AS fn, sum(lines) AS l FROM j GROUP BY lang),
+p AS (SELECT *, tp / nullif(tp + fp, 0) AS p, nullif(tp + fp, 0) AS n FROM c), w AS (SELECT *, (p + 3.841459121616 / (2 * n)) / (1 + 3.841459121616 / n) AS mid, 1.959964 * sqrt(p * (1 - p) / n + 3.841459121616 / (4 * n * n)) / (1 + 3.841459121616 / n) AS half FROM p)
+SELECT lang, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(p, 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round(1 - p, 6) AS fdr,
+round(mid - half, 6) AS low, round(mid + half, 6) AS high, round(fp / (l / 1000.0), 6) AS fp_per_kloc FROM w""")
 def label_precision(spark, sf_dir):
-    """Precision, recall and the Wilson bound of a rule against labels."""
+    """How well a rule's hits tell texts labelled as bad, by language."""
     d, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    flagged, bad = F.col("text").rlike("[*]{3}|[$]{3}|!!"), F.col("quality") == 0
-    c = d.select("doc_id", flagged.alias("flagged")).join(labels.select("doc_id", bad.alias("bad")), "doc_id").agg(F.count_if(F.col("flagged") & F.col("bad")).alias("tp"), F.count_if(F.col("flagged") & ~F.col("bad")).alias("fp"), F.count_if(~F.col("flagged") & F.col("bad")).alias("fn"))
-    n, p = F.col("tp") + F.col("fp"), F.col("tp") / (F.col("tp") + F.col("fp"))
-    wilson = (p + 1.9208 / n - 1.96 * F.sqrt(p * (1 - p) / n + 0.9604 / n / n)) / (1 + 3.8416 / n)
-    return c.select("tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(F.col("tp") / (F.col("tp") + F.col("fn")), 6).alias("recall"), F.round(wilson, 6).alias("wilson"))
+    d = d.select("doc_id", "lang", F.col("text").rlike("[*]{3}|[$]{3}|!!").alias("found"), F.size(F.split("text", "\n")).alias("n_lines"))
+    judged = d.join(labels.select("doc_id", (F.col("quality") == 0).alias("true")), "doc_id")
+    out = R.precision(judged, "lang", lines="n_lines")
+    return out.select("lang", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "fdr", "low", "high", "fp_per_kloc")])
 
 
 @query("SELECT page_id, CAST(i - 1 AS INT) AS ordinal, trim(regexp_extract_all(html, '<!--([^>]*)-->', 1)[i]) AS comment FROM (SELECT page_id, html, unnest(range(1, len(regexp_extract_all(html, '<!--([^>]*)-->', 1)) + 1)) AS i FROM pages) x")
@@ -430,6 +419,178 @@ def events_by_hour(spark, sf_dir):
     return e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", "total")
 
 
+_CALLS = "(?:eval|exec|system|execute|load)[(][a-z_]+"
+
+
+@query(f"WITH {_DOCS}, r AS ({_places(_CALLS, 'CALLS')} UNION ALL {_places('key AKIA[A-Z]{16}', 'KEY', 4)}) SELECT {_PLACE} FROM r")
+def match_regex(spark, sf_dir):
+    """The regex matcher: whole matches, and a group as what is reported."""
+    group = {"pattern": "key (?P<k>AKIA[A-Z]{16})", "report_group": "k", "secret_group": "k"}
+    return _found(spark, sf_dir, _rule("CALLS", {"regex": {"pattern": _CALLS}}), _rule("KEY", {"regex": group})).select(*PLACE)
+
+
+_OVERRIDE = "(?i)(?:ignore|disregard|forget)[^.!?]{0,120}?(?:previous|prior|above)[ ]{1,8}(?:instructions|rules)"
+
+
+@query(f"WITH {_DOCS}, r AS ({_places(_OVERRIDE, 'SHORT')} UNION ALL {_places(_OVERRIDE, 'LONG')}) SELECT {_PLACE} FROM r WHERE end_line - line < CASE rule_id WHEN 'SHORT' THEN 1 ELSE 3 END")
+def match_multiline(spark, sf_dir):
+    rules = [_rule(i, {"multiline": {"pattern": _OVERRIDE, "max_lines": n}}, keywords=("ignore", "disregard", "forget")) for i, n in (("SHORT", 1), ("LONG", 3))]
+    return _found(spark, sf_dir, *rules).select(*PLACE)
+
+
+@query(f"""WITH {_DOCS}, a AS ({_places("begin step", "SEQ")}), b AS ({_places("finish step")}),
+n AS (SELECT a.path, a.rule_id, a.start, a.line, a.col, min(b.start) AS s FROM a JOIN b ON a.path = b.path AND b.start >= a."end" GROUP BY ALL)
+SELECT n.path, n.rule_id, n.start, b."end", n.line, n.col, b.end_line, b.end_col FROM n JOIN b ON n.path = b.path AND n.s = b.start WHERE b.line - n.line <= 3""")
+def match_sequence(spark, sf_dir):
+    """A forward as-of join within a text: of each start the next end, if it is near enough."""
+    return _found(spark, sf_dir, _rule("SEQ", {"multiline": {"sequence": ["begin step", "finish step"], "within_lines": 3}}, keywords=("begin",))).select(*PLACE)
+
+
+_RUN = lambda kind: f"[{C.HIDDEN[kind]}]+"
+
+
+@query(f"WITH {_DOCS}, r AS ({' UNION ALL '.join(_places(_RUN(k), k) for k in ('TAG', 'ZW', 'BIDI'))}) SELECT {_PLACE}, CAST(length(value) AS VARCHAR) AS n FROM r")
+def match_unicode(spark, sf_dir):
+    """Runs of hidden characters; the texts have none of the exempt ones."""
+    return _found(spark, sf_dir, *[_rule(k, {"unicode": {"classes": [k]}}) for k in ("TAG", "ZW", "BIDI")]).select(*PLACE, F.col("props")["count"].alias("n"))
+
+
+@query(f"WITH {_DOCS}, r AS ({_places(_RUN('TAG'), 'TAG')}) SELECT path, start, translate(value, '{_SPELL[0]}', '{_SPELL[1].replace(chr(39), chr(39) * 2)}') AS decoded FROM r")
+def match_tag_decode(spark, sf_dir):
+    return _found(spark, sf_dir, _rule("TAG", {"unicode": {"classes": ["TAG"]}})).select("path", "start", F.col("captures")["decoded"].alias("decoded"))
+
+
+_N = lambda x: f"len(regexp_extract_all(t, '[{x}]'))"
+
+
+@query(f"""WITH {_DOCS}, r AS ({_places(_RUN('BIDI'), 'BIDI')}), l AS (SELECT r.*, string_split(text, chr(10))[line] AS t FROM r JOIN docs USING (path))
+SELECT {_PLACE} FROM l WHERE {_N('\\x{202A}\\x{202B}\\x{202D}\\x{202E}')} > {_N('\\x{202C}')} OR {_N('\\x{2066}-\\x{2068}')} > {_N('\\x{2069}')}""")
+def match_bidi_open(spark, sf_dir):
+    """Only where an embedding or isolate is open at the end of the line."""
+    return _found(spark, sf_dir, _rule("BIDI", {"unicode": {"classes": ["BIDI"], "open_only": True}})).select(*PLACE)
+
+
+_LETTER = f"[{C.CONFUSABLE[0]}]"
+
+
+@query(f"WITH {_DOCS}, r AS ({_places('[\\p{L}\\p{N}]+', 'ALIKE', where=f"regexp_matches(text, '{_LETTER}')")}) SELECT {_PLACE}, translate(value, '{C.CONFUSABLE[0]}', '{C.CONFUSABLE[1]}') AS skeleton FROM r WHERE regexp_matches(value, '{_LETTER}') AND regexp_matches(value, '[A-Za-z]')")
+def match_homoglyph(spark, sf_dir):
+    """Words that mix ASCII letters with ones that look like them."""
+    return _found(spark, sf_dir, _rule("ALIKE", {"unicode": {"classes": ["HOMOGLYPH"]}})).select(*PLACE, F.col("captures")["skeleton"].alias("skeleton"))
+
+
+_SAME = "|".join(c * 6 for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_-")
+_STAND_IN = "(?i)^(?:" + "|".join(kernels._STAND_INS) + ")[A-Za-z0-9_-]{0,48}$|(?i)^x+$"
+
+
+@query(f"""WITH {_DOCS}, r AS ({_places('[A-Za-z0-9_-]{16,}', 'RANDOM')}),
+t AS (SELECT * FROM r WHERE length(value) <= 200 AND CAST(regexp_matches(value, '[0-9]') AS INT) + CAST(regexp_matches(value, '[A-Z]') AS INT) + CAST(regexp_matches(value, '[a-z]') AS INT) >= 2
+      AND NOT regexp_matches(value, '{_SAME}') AND NOT regexp_matches(value, '{"|".join(sorted(kernels._RUNS))}') AND NOT regexp_matches(value, '{_STAND_IN}')
+      AND NOT regexp_matches(value, '(?i)^[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}$') AND NOT (length(value) IN (40, 64) AND regexp_matches(value, '^[0-9A-Fa-f]+$'))),
+h AS ({_entropy_sql("t", "path, start", "value")})
+SELECT {_PLACE}, round(h, 2) AS entropy FROM t JOIN h USING (path, start) WHERE h >= CASE WHEN length(value) < 24 THEN 3.8 WHEN length(value) < 40 THEN 4.2 ELSE 4.5 END""")
+def match_entropy(spark, sf_dir):
+    """Tokens of two character classes and high entropy, wherever they stand, but for the ones that gates take out."""
+    rule = _rule("RANDOM", {"entropy": {"charset": "base64url", "scope": "anywhere", "classes": 2}}, tags_none=("lockfile",))
+    rows = _found(spark, sf_dir, rule, how=match.Matching(classify=(("**", "text", "data", ()),)))
+    return rows.where(~(F.col("path").endswith("package-lock.json"))).select(*PLACE, F.col("props")["entropy"].cast("double").alias("entropy"))
+
+
+ORACLES["match_entropy"] += " AND NOT ends_with(path, 'package-lock.json')"
+_A, _B = "[.]execute[(]|begin step", "yaml|middle"
+_RULES = {
+    "ANY": {"any": [{"regex": {"pattern": _A}}, {"regex": {"pattern": _B}}]},
+    "ALL": {"all": [{"regex": {"pattern": _A}}, {"regex": {"pattern": _B}}]},
+    "NOT": {"all": [{"regex": {"pattern": _A}}, {"not": {"regex": {"pattern": _B}}}]},
+    "NEAR": {"all": [{"regex": {"pattern": _A}}, {"regex": {"pattern": _B}}], "near_lines": 1},
+    "FAR": {"all": [{"regex": {"pattern": _A}}, {"not": {"regex": {"pattern": _B}}}], "near_lines": 1},
+}
+_WITHIN = "EXISTS (SELECT 1 FROM b WHERE b.path = a.path AND b.end_line >= a.line - 1 AND b.line <= a.end_line + 1)"
+_ONE = lambda name: f'SELECT path, \'{name}\' AS rule_id, start, "end", line, col, end_line, end_col FROM '
+
+
+@query(f"""WITH {_DOCS}, a AS ({_places(_A)}), b AS ({_places(_B)})
+{_ONE("ANY")} a UNION ALL {_ONE("ANY")} b UNION ALL {_ONE("ALL")} a WHERE path IN (SELECT path FROM b) UNION ALL {_ONE("NOT")} a WHERE path NOT IN (SELECT path FROM b)
+UNION ALL {_ONE("NEAR")} a WHERE {_WITHIN} UNION ALL {_ONE("FAR")} a WHERE NOT {_WITHIN}""")
+def match_combined(spark, sf_dir):
+    """any, all, not, and both within a line of one another."""
+    return _found(spark, sf_dir, *[_rule(k, how) for k, how in _RULES.items()]).select(*PLACE)
+
+
+_AWS = "key AKIA[A-Z]{16}"
+_FILTERED = {
+    "EACH": ({}, "true"),
+    "FILE": ({"file_regex": "^(?:En|The|De)"}, "regexp_matches(text, '(?m)^(?:En|The|De)')"),
+    "NOFILE": ({"file_not_regex": "^(?:En|The|De)"}, "NOT regexp_matches(text, '(?m)^(?:En|The|De)')"),
+    "LINE": ({"line_not_regex": "P end"}, "false"),
+    "GLOB": ({"globs": ("*.py", "Dockerfile")}, "regexp_matches(path, '[.]py$|Dockerfile$')"),
+    "NOGLOB": ({"exclude_globs": ("*.py",)}, "NOT regexp_matches(path, '[.]py$')"),
+    "PATH": ({"path_not_glob": ("tests/",)}, "NOT contains(path, '/tests/')"),
+    "TAG": ({"tags_any": ("docker", "test")}, "regexp_matches(path, 'Dockerfile$|/tests/')"),
+    "NOTAG": ({"tags_none": ("docker", "test")}, "NOT regexp_matches(path, 'Dockerfile$|/tests/')"),
+    "SMALL": ({"max_bytes": 2000}, "octet_length(encode(text)) <= 2000"),
+    "KIND": ({"kinds": ("iac", "ci")}, "regexp_matches(path, 'Dockerfile$|workflows/|Chart|[.]tf$')"),
+    "LANG": ({"langs": ("yaml", "python")}, "regexp_matches(path, 'yml$|yaml$|[.]py$')"),
+}
+
+
+@query(f"WITH {_DOCS} " + " UNION ALL ".join(f"SELECT '{k}' AS rule_id, CAST(coalesce(sum(len(regexp_extract_all(text, '{_AWS}'))), 0) AS BIGINT) AS hits FROM docs WHERE regexp_matches(text, '{_AWS}') AND {where}" for k, (_, where) in _FILTERED.items() if where != "false"))
+def match_filters(spark, sf_dir):
+    """A rule under each of the filters that a rule can have."""
+    rules = [_rule(k, {"regex": {"pattern": _AWS}}, **more) for k, (more, _) in _FILTERED.items()]
+    return _found(spark, sf_dir, *rules).groupBy("rule_id").agg(F.count("*").alias("hits"))
+
+
+@query(f"WITH {_DOCS} SELECT path, 'CAP' AS rule_id, CAST(len(regexp_extract_all(text, 'AKIA')) - 1 AS INT) AS n FROM docs WHERE len(regexp_extract_all(text, 'AKIA')) > 1")
+def match_cap(spark, sf_dir):
+    """How many hits each document's cap takes away."""
+    rule = _rule("CAP", {"regex": {"pattern": "AKIA"}}, max_hits=1)
+    return match.events(docs(spark, sf_dir), [rule]).where("note.code = 'rule-capped'").select("path", "note.rule_id", "note.n")
+
+
+_QUOTED = '"[A-Za-z0-9]{8,}"'
+
+
+@query(f"WITH {_DOCS}, r AS ({_places(_QUOTED, 'ALLOW', 1)}) SELECT path, start FROM r WHERE NOT starts_with(value, '\"hunter')")
+def match_allow_values(spark, sf_dir):
+    """Secrets that are allowed are no hits."""
+    rule = _rule("ALLOW", {"regex": {"pattern": '"([A-Za-z0-9]{8,})"', "report_group": 1, "secret_group": 1}})
+    return _found(spark, sf_dir, rule, how=match.Matching(allow_values=("hunter.*",))).select("path", "start")
+
+
+_APPLY = {"python": {"kinds": ("code",), "langs": ("python",)}, "config": {"kinds": ("iac", "ci")}, "all": {}}
+
+
+@query(f"""WITH {_DOCS}, r(rule_id, kinds, lang) AS (VALUES ('python', ['code'], 'python'), ('config', ['iac', 'ci'], NULL), ('all', [], NULL)),
+c AS (SELECT doc_id, {_kind_case(0)} AS lang, {_kind_case(1)} AS kind FROM docs)
+SELECT rule_id, kind, CAST(count(*) AS BIGINT) AS documents FROM c, r WHERE (len(kinds) = 0 OR list_contains(kinds, kind)) AND (r.lang IS NULL OR r.lang = c.lang) GROUP BY rule_id, kind""")
+def applicability(spark, sf_dir):
+    rules = [_rule(k, {"regex": {"pattern": "x"}}, **more) for k, more in _APPLY.items()]
+    return match.applicable(docs(spark, sf_dir), rules).groupBy("rule_id", "kind").agg(F.count("*").alias("documents"))
+
+
+_SE_AWS = "(?:AKIA|ASIA)[A-Z2-7]{16}"
+
+
+@query(f"""WITH {_DOCS}, r AS ({_places("[A-Z0-9]{4,}", "SE-AWS", where="regexp_matches(text, 'AKIA|ASIA')")}), k AS (SELECT * FROM r WHERE regexp_full_match(value, '{_SE_AWS}')),
+l AS (SELECT k.*, string_split(text, chr(10))[line] AS t, list_filter(list_distinct(regexp_extract_all(string_split(text, chr(10))[line], '[A-Z0-9]{{4,}}')), lambda v: regexp_full_match(v, '{_SE_AWS}')) AS vs FROM k JOIN docs USING (path)),
+m AS (SELECT *, trim(regexp_replace(list_reduce(list_prepend(t, vs), lambda acc, v: replace(acc, v, '<SECRET:' || sha256(v) || '>')), '\\s+', ' ', 'g')) AS norm FROM l),
+o AS (SELECT *, row_number() OVER (PARTITION BY path, norm ORDER BY start) - 1 AS occ FROM m)
+SELECT {_PLACE}, 'critical' AS severity, CAST(10.0 AS DOUBLE) AS score, 'high' AS confidence, CAST(occ AS INT) AS occ,
+'sha256:' || sha256(concat_ws(chr(31), rule_id, path, norm, CAST(occ AS VARCHAR))) AS fingerprint, 'sha256:' || sha256(concat_ws(chr(31), rule_id, norm, CAST(occ AS VARCHAR))) AS content_fingerprint FROM o""")
+def scan_keys(spark, sf_dir):
+    """A whole scan with one shipped rule: places, scores, fingerprints."""
+    found = plans.scan(docs(spark, sf_dir), [r for r in RULES if r.id == "SE-AWS"]).findings
+    return found.select(*PLACE, "severity", "score", "confidence", "occ", "fingerprint", "content_fingerprint")
+
+
+@query(f"""WITH {_DOCS}, r AS ({_places("os[.]system[(][a-z]+[)]", "IN-SHELL")}) SELECT path, line, CASE WHEN contains(string_split(text, chr(10))[line], 'textlode:ignore') THEN 'inline' END AS suppressed FROM r JOIN docs USING (path)
+WHERE regexp_matches(path, '[.]py$')""")
+def scan_suppressed(spark, sf_dir):
+    """A whole scan with one shipped rule whose findings a marker on the line suppresses."""
+    return plans.scan(docs(spark, sf_dir), [r for r in RULES if r.id == "IN-SHELL"]).findings.select("path", "line", "suppressed")
+
+
 @query()
 def overlap_kept(spark, sf_dir):
     """Of each rule's spans those that do not overlap the last one kept; what is kept hangs on what was kept, so tests hold it against a loop."""

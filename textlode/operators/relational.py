@@ -90,6 +90,16 @@ def winners(hits: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     return hits.join(lost, ["path", "ordinal"], "left_anti"), lost
 
 
+def related(kept: DataFrame, hits: DataFrame, lost: DataFrame) -> DataFrame:
+    """kept with related: the rules whose hits lost to this rule in the document, where their secrets overlap its own."""
+    gone = hits.select("path", "ordinal", F.col("rule_id").alias("loser"), F.explode("spans").alias("x")).join(lost, ["path", "ordinal"])
+    gone = gone.select(F.col("path").alias("__path"), "winner", "loser", F.col("x.s").alias("__s"), F.col("x.e").alias("__e"))
+    own = kept.select("path", "rule_id", "ordinal", F.explode("spans").alias("x"))
+    meets = (F.col("path") == F.col("__path")) & (F.col("rule_id") == F.col("winner")) & (F.col("x.s") < F.col("__e")) & (F.col("__s") < F.col("x.e"))
+    names = own.join(gone, meets).groupBy("path", "ordinal").agg(F.array_sort(F.collect_set("loser")).alias("related"))
+    return kept.join(names, ["path", "ordinal"], "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
+
+
 def fingerprints(hits: DataFrame) -> DataFrame:
     """hits (path, rule_id, norm, start, ordinal) with occ, fingerprint and content_fingerprint; line numbers do not enter."""
     w = Window.partitionBy("path", "rule_id", "norm").orderBy("start", "ordinal")
@@ -132,14 +142,18 @@ def baseline_create(findings: DataFrame, reason: str, as_of: str, allow_critical
     return rows.dropDuplicates(["fingerprint"]).select("fingerprint", "content_fingerprint", "rule_id", "path", "line", "severity", F.lit(reason).alias("reason"), F.lit(as_of).cast("date").alias("added_at"), F.lit(None).cast("date").alias("expires"))
 
 
-def baseline_update(baseline: DataFrame, findings: DataFrame, scanned: DataFrame, prune: bool = True) -> tuple[DataFrame, DataFrame]:
-    """kept and pruned entries: one goes if its path was scanned and neither of its fingerprints was seen."""
+def baseline_update(baseline: DataFrame, findings: DataFrame, scanned: DataFrame, prune: bool = True, add_new: bool = False, reason: str = "", as_of: str = "", allow_critical: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """kept, pruned and added entries: one goes if its path was scanned and neither of its fingerprints was seen; new findings are added, with a reason, if so asked."""
     seen = findings.select(F.col("fingerprint").alias("__f")).distinct()
     content = findings.select(F.col("content_fingerprint").alias("__c")).distinct()
     paths = scanned.select(F.col("path").alias("__p")).distinct()
     unseen = baseline.join(seen, F.col("fingerprint") == F.col("__f"), "left_anti").join(content, F.col("content_fingerprint") == F.col("__c"), "left_anti")
     pruned = unseen.join(paths, F.col("path") == F.col("__p"), "left_semi") if prune else unseen.limit(0)
-    return baseline.join(pruned.select("fingerprint"), "fingerprint", "left_anti"), pruned
+    kept = baseline.join(pruned.select("fingerprint"), "fingerprint", "left_anti")
+    if not add_new:
+        return kept, pruned, baseline.limit(0)
+    added = baseline_create(findings, reason, as_of, allow_critical)
+    return kept, pruned, added.join(baseline.select("fingerprint"), "fingerprint", "left_anti").join(baseline.select("content_fingerprint"), "content_fingerprint", "left_anti").select(*added.columns)
 
 
 def stats(findings: DataFrame) -> DataFrame:
@@ -148,6 +162,29 @@ def stats(findings: DataFrame) -> DataFrame:
     return findings.agg(F.count("*").alias("findings"), F.count_if(~shown).alias("suppressed"), *[F.count_if(shown & (F.col("severity") == s)).alias(s) for s in C.SEVERITIES])
 
 
+def suppressed_by_kind(findings: DataFrame) -> DataFrame:
+    """One row: how many findings a marker, and how many a baseline, suppresses."""
+    return findings.agg(*[F.count_if(F.col("suppressed") == k).alias(k) for k in ("inline", "baseline")])
+
+
+def profile(findings: DataFrame, most: int = 20) -> DataFrame:
+    """The rules of most findings."""
+    return findings.groupBy("rule_id").agg(F.count("*").alias("hits")).orderBy(F.desc("hits"), "rule_id").limit(most)
+
+
+def precision(judged: DataFrame, *keys: str, lines: str | None = None) -> DataFrame:
+    """Of judged (keys, found, true: boolean; lines: of code): tp, fp, fn, precision, recall, f1, fdr, Wilson's interval of the precision (95%), and false ones per 1,000 lines."""
+    f, t = F.col("found"), F.col("true")
+    out = judged.groupBy(*keys).agg(F.count_if(f & t).alias("tp"), F.count_if(f & ~t).alias("fp"), F.count_if(~f & t).alias("fn"), *([F.sum(lines).alias("__lines")] if lines else []))
+    tp, fp, fn = (F.col(c).cast("double") for c in ("tp", "fp", "fn"))
+    z, n = 1.959964, F.nullif(tp + fp, F.lit(0.0))
+    p = tp / n
+    half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
+    middle = (p + z * z / (2 * n)) / (1 + z * z / n)
+    out = out.withColumns({"precision": p, "recall": tp / F.nullif(tp + fn, F.lit(0.0)), "f1": 2 * tp / F.nullif(2 * tp + fp + fn, F.lit(0.0)), "fdr": 1 - p, "low": middle - half, "high": middle + half})
+    return out.withColumn("fp_per_kloc", F.col("fp") / F.nullif(F.col("__lines") / 1000.0, F.lit(0.0))).drop("__lines") if lines else out
+
+
 def gate(findings: DataFrame, fail_on: str = "high") -> DataFrame:
     """One row: whether any finding that is not suppressed is of at least that severity."""
     bad = F.col("suppressed").isNull() & (C.rank(F.col("severity"), C.SEVERITIES) >= C.SEVERITIES.index(fail_on))

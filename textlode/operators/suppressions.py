@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 MARKERS = "path string, line int, scope string, first int, last int, ids array<string>, reason string, until string, ticket string, active boolean, problem string"
 _MARK = re.compile(r"(?:#|//|--|/\*|<!--|;)[ \t]*textlode:ignore(-next-line|-file|-start|-end)?(?:\[([\w*, -]{1,200})\])?([^\n]{0,400})")
 _PAIR = re.compile(r'\b(reason|until|ticket)=(?:"((?:[^"\\]|\\.)*)"|(\S+))')
-BLOCK, FILE_WINDOW, REASON = 200, 20, 10
+WORD, BLOCK, FILE_WINDOW, REASON = "textlode:ignore", 200, 20, 10
 
 
 def parse(text: str, as_of: str, wildcard: bool = False) -> list[dict]:
@@ -59,14 +59,14 @@ def parse(text: str, as_of: str, wildcard: bool = False) -> list[dict]:
 
 
 def markers(docs: DataFrame, as_of: str, wildcard: bool = False) -> DataFrame:
-    """MARKERS of docs (path, text). Documents without the word never reach Python."""
+    """MARKERS of docs (path, text). Documents without the word never reach Python. (A scan reads markers as it matches rules.)"""
 
     def run(batches):
         for b in batches:
             rows = [{"path": p, **m} for p, t in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True) for m in parse(t, as_of, wildcard)]
-            yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
+            yield pa.RecordBatch.from_pylist(rows, schema=SCHEMA)
 
-    return docs.where(docs["text"].contains("textlode:ignore")).select("path", "text").mapInArrow(run, MARKERS)
+    return docs.where(docs["text"].contains(WORD)).select("path", "text").mapInArrow(run, MARKERS)
 
 
-_SCHEMA = pa.schema([("path", pa.string()), ("line", pa.int32()), ("scope", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("ids", pa.list_(pa.string())), ("reason", pa.string()), ("until", pa.string()), ("ticket", pa.string()), ("active", pa.bool_()), ("problem", pa.string())])
+SCHEMA = pa.schema([("path", pa.string()), ("line", pa.int32()), ("scope", pa.string()), ("first", pa.int32()), ("last", pa.int32()), ("ids", pa.list_(pa.string())), ("reason", pa.string()), ("until", pa.string()), ("ticket", pa.string()), ("active", pa.bool_()), ("problem", pa.string())])

@@ -12,7 +12,7 @@ from ..rules import RULES, Rule
 
 def hits(stream: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """Hits of a stream of (path, text), stateless."""
-    return match.match(stream.select("path", F.coalesce("text", F.lit("")).alias("text")), rules)
+    return match.match(stream, rules)
 
 
 def findings(stream: DataFrame, out: str, checkpoint: str, rules: list[Rule] = RULES, **trigger):
