@@ -274,6 +274,7 @@ def test_factors_equal_a_naive_parse():
 def test_substrings_equal_brute_force(spark, monkeypatch, hot):
     """Shared passages of 49, 50 and more words, at edges, with edits, repeats within a text, and copies; HOT of 1 makes keys of two rows hot."""
     monkeypatch.setattr(common, "HOT", hot)
+    monkeypatch.setattr(substrings, "CROWD", hot)
     rng = random.Random(hot)
     word = lambda: rng.choice("alpha beta gamma delta epsilon zeta eta".split()) + str(rng.randrange(40))
     passages = [[word() for _ in range(n)] for n in (49, 50, 51, 80, 200)]
@@ -295,6 +296,7 @@ def test_substrings_equal_brute_force(spark, monkeypatch, hot):
 def test_substrings_of_repeated_rows(spark, monkeypatch, hot):
     """Rows that repeat in doc_id and text, null doc_ids with one text, and a copy of these in a smaller row."""
     monkeypatch.setattr(common, "HOT", hot)
+    monkeypatch.setattr(substrings, "CROWD", hot)
     text = " ".join(f"w{i}" for i in range(120))
     rows = [(7, "x " + text)] * 5 + [(None, text)] * 4 + [(3, text[:300])] + [(8, "y " + text[-200:])] * 2
     got = {(r["doc_id"], r["n_words"], r["n_removed"]) for r in substrings.remove(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

@@ -108,9 +108,9 @@ HOT = 10_000
 SALTS = 256
 
 
-def heavy(rows: DataFrame, keys: list[str]) -> list:
+def heavy(rows: DataFrame, keys: list[str], over: int | None = None) -> list:
     """Of rows (keys, and their count n), the keys of most rows, if over HOT: at most four for each partition. No other holds more than a fourth of an even share."""
-    return rows.where(F.col("n") > HOT).orderBy(F.desc("n"), *keys).limit(4 * partitions(rows.sparkSession)).select(*keys).collect()
+    return rows.where(F.col("n") > (HOT if over is None else over)).orderBy(F.desc("n"), *keys).limit(4 * partitions(rows.sparkSession)).select(*keys).collect()
 
 
 def join_skewed(left: DataFrame, right: DataFrame, keys: list[str], hot: list, how: str = "inner") -> DataFrame:

@@ -15,7 +15,7 @@ words also start in a document with a smaller doc_id.
      boundary is found too. Equal blocks of windows are merged before they meet.
   4. Factors of a document are united and its words counted and cut.
 
-Windows are compared by 64-bit hashes of their word sequences. At anchors that hold a large share of all blocks (a phrase in a
+Windows are compared by 64-bit hashes of their word sequences. At anchors of over CROWD different blocks (a phrase in a
 third of all documents) no task sees a block whole: the smallest row of each window is aggregated, map side first, and every
 block is told which windows its own row is the first to have; there, factors are runs of windows without a named reference.
 
@@ -31,10 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
 from .common import WordHash, documents, heavy, join_skewed, materialize, sliding, windows
 
 WINDOW, GRAM = 50, 16
+#: Contexts of one anchor that a task parses against one another; of more, no task sees them whole.
+CROWD = 1_000
 SPAN = WINDOW - GRAM + 1  # runs of GRAM words in a window
 #: Stands for a null doc_id, which no doc_id exceeds.
 NOBODY = (1 << 63) - 1
@@ -165,7 +166,7 @@ def packed(factors: list[tuple]) -> pa.RecordBatch:
 def factor(contexts: DataFrame) -> DataFrame:
     """_FACTORS of contexts (gram, context, row, start, windows) against those of the same gram and smaller rows, where there are any.
 
-    Contexts of one gram come in ascending row. The state is the gram's reference block, which heavy() bounds.
+    Contexts of one gram come in ascending row. The state is the gram's reference block, of at most CROWD contexts.
     """
 
     def run(batches):
@@ -279,9 +280,9 @@ def spans(docs: DataFrame) -> tuple[DataFrame, list]:
     contexts = found.groupBy("gram", "context").agg(F.min(F.struct("row", "start")).alias("at"), F.first("windows").alias("windows"), F.count("*").alias("n"))
     contexts = materialize(contexts.select("gram", "context", "at.row", "at.start", "windows", "n"), "substring-contexts")
     counts = contexts.groupBy("gram").agg(F.count("*").alias("n"))
-    crowded = heavy(counts, ["gram"])
+    crowded = heavy(counts, ["gram"], CROWD)
     if crowded:
-        many = counts.where(F.col("n") > common.HOT).select("gram", F.lit(True).alias("crowd"))
+        many = counts.where(F.col("n") > CROWD).select("gram", F.lit(True).alias("crowd"))
         parted = join_skewed(contexts, many, ["gram"], crowded, "left")
         factors = factor(parted.where("crowd IS NULL")).unionByName(factor_apart(parted.where("crowd")))
     else:
