@@ -110,7 +110,7 @@ def settings(args: argparse.Namespace) -> config.Config:
 
 
 def chosen(args: argparse.Namespace, conf: config.Config) -> list[Rule]:
-    every = packs.load_rules(*conf["rules.extra_dirs"], base=RULES)
+    every = packs.load_rules(packs.SHIPPED, *conf["rules.extra_dirs"], base=RULES)
     wanted = tuple(p if "*" in p or "/" in p else p + "*" for p in conf["scan.packs"])
     if args.command == "secrets":
         wanted = ("secrets/*",)
@@ -273,7 +273,7 @@ def cmd_baseline(args: argparse.Namespace) -> int:
 
 
 def cmd_rules(args: argparse.Namespace) -> int:
-    every = packs.load_rules(*args.rules, base=RULES)
+    every = packs.load_rules(packs.SHIPPED, *args.rules, base=RULES)
     if args.action == "bundle":
         print(packs.write_bundle(every, args.out))
         return 0

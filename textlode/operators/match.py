@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import CONFIDENCES, glob
 from ..rules import Rule
-from . import classify, kernels, suppressions
+from . import classify, kernels, structures, suppressions  # noqa: F401 - structures registers its matchers
 
 HIT = (
     "rule_id string, ordinal int, start int, end int, line int, col int, end_line int, end_col int, delta int, rule_confidence int, captures map<string,string>, "

@@ -19,6 +19,10 @@ MAX_BYTES, MAX_FILES, MAX_RULES, MAX_DEPTH = 2 << 20, 2_000, 5_000, 64
 _NAME = re.compile(r"[A-Z][A-Z0-9]*(?:-[A-Z0-9]+)+")
 
 
+#: Packs that come with the engine besides rules.RULES: by structure, and of other views. They are read when they are asked for.
+SHIPPED = os.path.join(os.path.dirname(os.path.abspath(__file__)), "rulepacks")
+
+
 class PackError(ValueError):
     pass
 

@@ -99,7 +99,7 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, options: Options = Options(
     rank = F.when(F.array_contains("tags", "example") & (F.size("spans") > 0), F.lit(0)).otherwise(rank)
     scored = hits.drop("secrets").join(F.broadcast(table), "rule_id")  # the rules' table has a row a rule
     scored = scored.withColumns({"exposure": exposure, "confidence_rank": rank, "message": message(F.col("message"), F.col("captures"))})
-    scored = scored.withColumn("score", C.score(F.col("base"), F.lit("unknown"), F.col("exposure"), F.col("sensitive"))).withColumn("severity", C.band(F.col("score")))
+    scored = scored.withColumn("score", C.score(F.col("base"), F.coalesce(F.try_element_at("props", F.lit("reachability")), F.lit("unknown")), F.col("exposure"), F.col("sensitive"))).withColumn("severity", C.band(F.col("score")))
     scored = scored.withColumn("confidence", F.element_at(F.array(*map(F.lit, C.CONFIDENCES)), F.col("confidence_rank") + 1))
     one = materialize(relational.without_overlap(relational.exact(scored)), "hits-scored")
     kept, lost = relational.winners(one.withColumnRenamed("confidence", "confidence_name").withColumn("confidence", F.col("confidence_rank")), table.select("rule_id", "generic", "supersedes"))

@@ -43,6 +43,8 @@ class _Reader:
     def __init__(self, lines: list[str], first: int):
         self.lines, self.first, self.at, self.nodes, self.aliases = lines, first, 0, 0, 0
         self.anchors: dict[str, Any] = {}
+        #: Of (id of a collection, key or index), the line; the collections live as long as the tree that holds them.
+        self.places: dict[tuple[int, Any], int] = {}
 
     def fail(self, message: str) -> YamlError:
         return YamlError(message, self.first + self.at)
@@ -92,6 +94,7 @@ class _Reader:
                 return out
             rest = self.lines[self.at][n + 1 :]
             own = rest.lstrip(" ")
+            self.places[id(out), len(out)] = self.first + self.at
             if not own or own.startswith("#"):
                 self.at += 1
                 out.append(self.block(n + 1, depth + 1))
@@ -120,6 +123,7 @@ class _Reader:
             name = m[0].rstrip()[:-1].rstrip()
             key = self.quoted(name) if name[:1] in ("'", '"') else scalar(name)
             rest = text[m.end() :].strip()
+            line = self.first + self.at
             if rest and not rest.startswith("#"):
                 value = self.value(rest, n, depth + 1)
             else:
@@ -136,10 +140,14 @@ class _Reader:
                 raise self.fail(f"key {key!r} stands twice")
             else:
                 out[key] = value
+                self.places[id(out), key] = line
         for more in merged:
             if not isinstance(more, dict):
                 raise self.fail("only mappings can be merged")
-            out = out | {k: v for k, v in more.items() if k not in out}
+            for k, v in more.items():
+                if k not in out:
+                    out[k] = v
+                    self.places.setdefault((id(out), k), self.places.get((id(more), k), self.first + self.at - 1))
         return out
 
     def value(self, text: str, n: int, depth: int) -> Any:
@@ -268,6 +276,7 @@ class _Reader:
             return self.quoted(m[0]), m.end()
         if c in "[{":
             out: Any = [] if c == "[" else {}
+            line = self.first + self.at
             i = self.blank(s, i + 1)
             while s[i] != ("]" if c == "[" else "}"):
                 key, i = self.flow_node(s, i, depth + 1)
@@ -283,10 +292,18 @@ class _Reader:
                     out.append(key)
                 else:
                     out[key] = None
+                self.places[id(out), len(out) - 1 if c == "[" else key] = line
                 if s[i] == ",":
                     i = self.blank(s, i + 1)
                 elif s[i] not in "]}":
                     raise self.fail("a comma is expected")
+            if c == "{" and "<<" in out:
+                more = out.pop("<<")
+                for one in more if isinstance(more, list) else [more]:
+                    for k, v in one.items() if isinstance(one, dict) else ():
+                        if k not in out:
+                            out[k] = v
+                            self.places[id(out), k] = line
             return out, i + 1
         if c in "]},":
             raise self.fail(f"{c!r} is not expected")
@@ -319,6 +336,11 @@ def _folded(lines: list[str]) -> str:
 
 def load_all(text: str) -> list[Any]:
     """The documents of a text."""
+    return [tree for tree, _ in load_placed(text)]
+
+
+def load_placed(text: str) -> list[tuple[Any, dict]]:
+    """The documents of a text, and of each the lines of its keys and items: by (id of the collection, key or index)."""
     if len(text) > MAX_CHARS:
         raise YamlError(f"over {MAX_CHARS} characters", 1)
     out, lines, first = [], [], 1
@@ -327,7 +349,7 @@ def load_all(text: str) -> list[Any]:
     def end() -> None:
         if any(x.strip() and not x.lstrip().startswith("#") for x in lines):
             r = _Reader(list(lines), first)
-            out.append(r.block(0, 0))
+            out.append((r.block(0, 0), r.places))
             r.skip()
             if r.at < len(r.lines):
                 raise r.fail("what stands here belongs to nothing")
