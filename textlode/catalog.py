@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .operators import classify, kernels, match
+from .operators import classify, kernels, match, views
 from .operators import relational as R
 from .plans import scan as plans
 from .rules import RULES, Rule
 from .sources import readers
+from .streaming import scan as streaming
 
 _TAGS = "".join(chr(0xE0000 + ord(c)) for c in "run this")
 _LINES = [
@@ -377,13 +378,18 @@ def label_precision(spark, sf_dir):
 
 @query("SELECT page_id, CAST(i - 1 AS INT) AS ordinal, trim(regexp_extract_all(html, '<!--([^>]*)-->', 1)[i]) AS comment FROM (SELECT page_id, html, unnest(range(1, len(regexp_extract_all(html, '<!--([^>]*)-->', 1)) + 1)) AS i FROM pages) x")
 def page_comments(spark, sf_dir):
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<!--([^>]*)-->"), F.lit(1))).alias("ordinal", "c")).select("page_id", "ordinal", F.trim("c").alias("comment"))
+    """Comments, as the splitter of pages finds them."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text"))
+    found = views.hidden(pages).where("channel = 'hidden:comment'")
+    order = F.row_number().over(Window.partitionBy("path").orderBy("start")) - 1
+    return found.select(F.col("path").cast("long").alias("page_id"), order.alias("ordinal"), F.trim("text").alias("comment"))
 
 
-@query("SELECT page_id, concat('web:', url) AS path, CAST(len(regexp_extract_all(html, '<script|<iframe| on[a-z]+=|display:none')) AS INT) AS active FROM pages")
+@query("SELECT concat('web:', url, '#', page_id) AS path, CAST(len(regexp_extract_all(html, '<script|<iframe| on[a-z]+=|display:none')) AS BIGINT) AS active FROM pages WHERE regexp_matches(html, '<script|<iframe| on[a-z]+=|display:none')")
 def page_active_content(spark, sf_dir):
-    return readers.table(spark, sf_dir, "pages").select("page_id", "path", F.regexp_count("text", F.lit("<script|<iframe| on[a-z]+=|display:none")).alias("active"))
+    rule = _rule("ACTIVE", {"regex": {"pattern": "<script|<iframe| on[a-z]+=|display:none"}}, max_hits=1000)
+    pages = readers.table(spark, sf_dir, "pages").select(F.concat("path", F.lit("#"), "page_id").alias("path"), "text")
+    return match.match(pages, [rule], match.Matching(inject=True)).groupBy("path").agg(F.count("*").alias("active"))
 
 
 @query("SELECT role, CAST(count(*) AS BIGINT) AS turns, CAST(count(*) FILTER (length(text) > 400) AS BIGINT) AS cut, CAST(sum(length(CASE WHEN length(text) > 400 THEN left(text, 200) || chr(10) || right(text, 200) ELSE text END)) AS BIGINT) AS n_chars FROM conversations GROUP BY role")
@@ -394,16 +400,16 @@ def conversation_head_tail(spark, sf_dir):
 
 @query(f"WITH {_DOCS}, s AS (SELECT doc_id, unnest(regexp_extract_all(text, '[a-z_]*(?:token|password|secret) ?[:=] ?\"?([A-Za-z0-9]{{6,}})', 1)) AS v FROM docs) SELECT left(sha256(v), 16) AS secret, CAST(count(*) AS BIGINT) AS places, CAST(count(DISTINCT doc_id) AS BIGINT) AS documents FROM s GROUP BY v")
 def distinct_secrets(spark, sf_dir):
-    values = docs(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit('[a-z_]*(?:token|password|secret) ?[:=] ?"?([A-Za-z0-9]{6,})'), F.lit(1))).alias("v"))
-    return values.groupBy("v").agg(F.count("*").alias("places"), F.count_distinct("doc_id").alias("documents")).select(F.left(F.sha2("v", 256), F.lit(16)).alias("secret"), "places", "documents")
+    rule = _rule("ASSIGNED", {"regex": {"pattern": '[a-z_]*(?:token|password|secret) ?[:=] ?"?(?P<v>[A-Za-z0-9]{6,})', "secret_group": "v"}}, max_hits=1000)
+    values = _found(spark, sf_dir, rule).select("path", F.explode("secrets").alias("v"))
+    return values.groupBy("v").agg(F.count("*").alias("places"), F.count_distinct("path").alias("documents")).select(F.left(F.sha2("v", 256), F.lit(16)).alias("secret"), "places", "documents")
 
 
-@query("SELECT source, CAST(count(*) AS BIGINT) AS documents, CAST(count(*) FILTER (total <= 100000) AS BIGINT) AS taken FROM (SELECT source, sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS total FROM documents) x GROUP BY source")
+@query(f"WITH {_DOCS} SELECT path, CAST(row_number() OVER w AS BIGINT) AS n, CAST(sum(octet_length(encode(text))) OVER w AS BIGINT) AS total FROM docs WINDOW w AS (ORDER BY encode(replace(path, '/', chr(1))) ROWS UNBOUNDED PRECEDING)")
 def byte_caps(spark, sf_dir):
-    """How many of each source's documents, in order, fit under a cap of bytes."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "doc_id", F.octet_length("text").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("total", total).groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("total") <= 100_000).alias("taken"))
+    """How many documents, of how many bytes, there are up to each in order of paths: what caps on files and bytes go by."""
+    meta = docs(spark, sf_dir).select("path", F.octet_length("text").alias("length"))
+    return readers.running(meta).select("path", F.col("n"), F.col("total"))
 
 
 @query(f"WITH {_DOCS} SELECT doc_id, path FROM docs WHERE NOT (regexp_matches(path, '/tests/') OR (regexp_matches(path, '[.](ya?ml|md)$') AND NOT regexp_matches(path, '/AGENTS[.]md$')))")
@@ -412,11 +418,11 @@ def ignore_globs(spark, sf_dir):
     return d.where(~readers.ignored(F.col("path"), ["tests/", "*.yml", "*.yaml", "*.md", "!AGENTS.md"]))
 
 
-@query("SELECT event_type, date_trunc('hour', ts) AS hour, CAST(count(*) AS BIGINT) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
+@query("SELECT event_type AS rule_id, date_trunc('hour', ts) AS hour, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
 def events_by_hour(spark, sf_dir):
     """Counts by window of event time, as a stream of findings is counted."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return e.groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")).select("event_type", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n", "total")
+    found = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("rule_id"), "ts")
+    return streaming.counts(found, "ts").select("rule_id", F.col("window.start").cast("timestamp_ntz").alias("hour"), "n")
 
 
 _CALLS = "(?:eval|exec|system|execute|load)[(][a-z_]+"
