@@ -82,11 +82,14 @@ def winners(hits: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     placed = clusters(spans)
     at = ["path", "cluster"]
     by_rule = placed.groupBy(*at, "rule_id").agg(F.max("score").alias("best"), F.min(F.struct("s", "e", "ordinal", "confidence")).alias("first"))
-    others = by_rule.groupBy(*at).agg(F.collect_set("rule_id").alias("members"))
-    ranked = by_rule.join(others, at).join(F.broadcast(rules), "rule_id").where(F.size("members") > 1)  # rules: a few hundred at most
-    w = Window.partitionBy(*at).orderBy("generic", F.size(F.array_intersect("supersedes", F.array_remove("members", F.col("rule_id")))).desc(), F.desc("best"), F.col("first.confidence").desc(), "rule_id")
-    best = ranked.withColumn("n", F.row_number().over(w)).where("n = 1").select(*at, F.col("rule_id").alias("winner"))
-    lost = placed.join(best, at).where("rule_id <> winner").select("path", "ordinal", "winner").distinct()
+    by_rule = by_rule.join(F.broadcast(rules), "rule_id")  # a few hundred rules at most
+    entry = F.struct("rule_id", "best", F.col("first.confidence").alias("confidence"), "generic", "supersedes")
+    # a cluster's rules are no more than there are rules
+    met = by_rule.groupBy(*at).agg(F.collect_list(entry).alias("rs")).where(F.size("rs") > 1)
+    members = F.transform("rs", lambda r: r["rule_id"])
+    rank = F.transform("rs", lambda r: F.struct(r["generic"].alias("g"), (-F.size(F.array_intersect(r["supersedes"], F.array_remove(members, r["rule_id"])))).alias("n"), (-r["best"]).alias("b"), (-r["confidence"]).alias("c"), r["rule_id"].alias("id")))
+    best = met.select(*at, F.array_min(rank)["id"].alias("winner"))
+    lost = placed.select(*at, "rule_id", "ordinal").join(best, at).where("rule_id <> winner").select("path", "ordinal", "winner").distinct()
     return hits.join(lost, ["path", "ordinal"], "left_anti"), lost
 
 
