@@ -174,10 +174,26 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-def test_simhash(spark, sf):
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_simhash(spark, sf, monkeypatch, hot):
+    """Fingerprints and components, against all pairs of distinct fingerprints."""
+    monkeypatch.setattr(common, "HOT", hot)
     got = {r["doc_id"]: r for r in queries.QUERIES["op10_near_dedup"](spark, sf).collect()}
     for r in documents(spark, sf).collect():
         assert got[r["doc_id"]]["fingerprint"] == f"{brute_fingerprint(r['text']):016x}"
+    fps = {d: int(r["fingerprint"], 16) for d, r in got.items()}
+    left, want = set(fps), {}
+    while left:
+        todo = [min(left)]
+        least = todo[0]
+        left.discard(least)
+        while todo:
+            x = todo.pop()
+            want[x] = least
+            near = {y for y in left if (fps[x] ^ fps[y]).bit_count() <= 2}
+            left -= near
+            todo += near
+    assert {d: r["component_id"] for d, r in got.items()} == want
 
 
 @pytest.mark.parametrize("group", [2, 256])
@@ -215,7 +231,9 @@ def test_links_give_the_components_of_all_pairs(spark, monkeypatch, group):
     assert sorted(map(sorted, got.values())) == sorted(sorted(map(signed, g)) for g in want.values() if len(g) > 1)
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("hot", [1, 10_000])
+def test_components_of_a_long_path(spark, monkeypatch, hot):
+    monkeypatch.setattr(common, "HOT", hot)
     e = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1000), (5000, 4000)], "a long, b long")
     got = {r["node"]: r["component"] for r in components(e).collect()}
     assert got == {i: 0 for i in range(201)} | {5000: 4000, 4000: 4000}

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import heavy, join_skewed, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Ties each node's neighbours (large: the greater ones; else the lesser ones and itself) to the least of them and itself."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = both.join(least, "a")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    # in a large star, the least node of a large component is the neighbour of all others
+    joined = join_skewed(both, least.drop("n"), ["a"], heavy(least, ["a"]) if large else [])
     if large:
         return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     return joined.select("b", "m").unionByName(least.select(F.col("a").alias("b"), "m")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, mix
+from .common import documents, heavy, join_skewed, materialize, mix
 from .components import components
 
 BITS, SHINGLE, GROUP, LEVELS = 2, 3, 256, 3
@@ -176,11 +176,13 @@ def edges(distinct: DataFrame) -> DataFrame:
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, key (a hash of the text), fp, component (of fingerprints), component_id of each row of docs."""
     fps = materialize(fingerprints(docs), "near-fingerprints")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "near-distinct")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "near-distinct")
     parts = components(edges(distinct))
     named = distinct.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    return fps.join(named.select("fp", "component").join(least, "component"), "fp")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    told = join_skewed(named.select("fp", "component"), least.drop("n"), ["component"], heavy(least, ["component"]))
+    # very many rows may have one fingerprint, and very many fingerprints be of one component
+    return join_skewed(fps, told, ["fp"], heavy(distinct, ["fp"])).select("doc_id", "key", "fp", "component", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
