@@ -90,6 +90,20 @@ def test_latin_fallback_and_paths_that_a_rule_leaves_out(spark):
     assert [r["path"] for r in scan(docs, [rule]).findings.collect()] == ["b"]
 
 
+def test_time_that_is_over(spark):
+    r = scan(spark.createDataFrame([("a.py", CODE)], "path string, text string"), options=Options(seconds=-1.0))
+    assert r.truncated and r.findings.isEmpty() and [d["code"] for d in r.diagnostics.collect()] == ["time-budget"]
+
+
+def test_findings_of_other_scanners_are_merged(spark):
+    rule = Rule("R", "t", "p", "high", "high", {"regex": {"pattern": "word"}}, cwe=("CWE-1", "CWE-2"))
+    found = scan(spark.createDataFrame([("a", "word\nword")], "path string, text string"), [rule]).findings
+    others = spark.createDataFrame([("a", 1, "x", "one", ["CWE-2"], False), ("a", 1, "y", "two", ["CWE-9"], True), ("a", 3, "x", "one", ["CWE-2"], False)], "path string, line int, source string, id string, cwe array<string>, secret boolean")
+    out, left = relational.also_reported(found, others)
+    assert {(r["line"], tuple(r["also_reported_by"])) for r in out.collect()} == {(1, ("x:one",)), (2, ())}
+    assert sorted((r["line"], r["id"]) for r in left.collect()) == [(1, "two"), (3, "one")]
+
+
 def test_messages_name_captures(spark):
     rule = Rule("R", "t", "p", "high", "high", {"regex": {"pattern": r"(?P<a>\w+)=(?P<b_2>\w+)"}}, message="{{a}} is {{ b_2 }}, {{none}}. {{open")
     r = scan(spark.createDataFrame([("x", "k=v")], "path string, text string"), [rule])

@@ -47,6 +47,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--max-files", type=int)
         p.add_argument("--as-of")
         p.add_argument("--profile", action="store_true")
+        p.add_argument("--seconds", type=float, help="that matching may take")
 
     for name in ("scan", "secrets", "inject"):
         p = commands.add_parser(name)
@@ -209,7 +210,7 @@ def run_scan(args: argparse.Namespace, low: bool = False):
     options = plans.Options(
         fail_on=conf["scan.fail_on"], min_severity="info" if low else conf["scan.min_severity"], min_confidence="low" if low else conf["scan.min_confidence"],
         exposure_globs={k: conf[f"exposure.{k}"] for k in ("test", "vendored", "internet", "internal")}, severity_overrides=conf["severity.overrides"],
-        allow_values=tuple(conf["secrets.allow_values"]), wildcard=conf["suppress.allow_wildcard"], skip_minified=conf["scan.skip_minified"], inject=inject, as_of=args.as_of,
+        allow_values=tuple(conf["secrets.allow_values"]), wildcard=conf["suppress.allow_wildcard"], skip_minified=conf["scan.skip_minified"], inject=inject, as_of=args.as_of, seconds=args.seconds,
         classify_rules=tuple((r["glob"], r.get("lang"), r.get("kind"), tuple(r.get("tags", ()))) for r in conf["classify.rules"]),
     )
     base = conf["scan.baseline"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,6 +37,7 @@ class Matching:
     charts: frozenset = field(default_factory=frozenset)
     skip_minified: bool = True
     max_chars: int | None = None  # of an injected text: beyond it, its head and tail
+    deadline: float | None = None  # seconds since 1970, when the time that a scan may take is over: texts not yet begun are left out, with a note each
 
 
 def applies(rule: Rule, doc: kernels.Document, minified_too: bool = False) -> bool:
@@ -132,7 +134,9 @@ def events(docs: DataFrame, rules: list[Rule], how: Matching = Matching()) -> Da
         for batch in batches:
             for b in runs(batch, "text"):
                 for path, text, fallback in zip(*(b.column(c).to_pylist() for c in ("path", "text", "fallback")), strict=True):
-                    if text:
+                    if text and how.deadline and time.time() > how.deadline:
+                        out.append(_note(path, "time-budget", "not scanned: the time is over"))
+                    elif text:
                         out += matcher.events(path, text, bool(fallback))
                     if len(out) > 2_000:
                         yield pa.RecordBatch.from_pylist(out, schema=_EVENTS)

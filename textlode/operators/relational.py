@@ -103,6 +103,21 @@ def related(kept: DataFrame, hits: DataFrame, lost: DataFrame) -> DataFrame:
     return kept.join(names, ["path", "ordinal"], "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
 
 
+def also_reported(findings: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """findings with also_reported_by (source:id), and what is left of others (path, line, source, id, cwe: array, secret: boolean).
+
+    Another scanner's finding is merged into one of the same line if they share a weakness (cwe), or both are of secrets.
+    """
+    o = others.select(F.col("path").alias("__path"), F.col("line").alias("__line"), F.concat_ws(":", "source", "id").alias("__name"), F.col("cwe").alias("__cwe"), F.col("secret").alias("__secret"))
+    same = (F.col("path") == F.col("__path")) & (F.col("line") == F.col("__line")) & (F.arrays_overlap("cwe", "__cwe") | (F.size("spans") > 0) & F.col("__secret"))
+    pairs = findings.join(o, same).select("fingerprint", "__path", "__line", "__name")
+    names = pairs.groupBy("fingerprint").agg(F.array_sort(F.collect_set("__name")).alias("also_reported_by"))
+    out = findings.join(names, "fingerprint", "left").withColumn("also_reported_by", F.coalesce("also_reported_by", F.array().cast("array<string>")))
+    met = pairs.select(F.col("__path").alias("path"), F.col("__line").alias("line"), F.col("__name").alias("name")).distinct()
+    left = others.withColumn("name", F.concat_ws(":", "source", "id")).join(met, ["path", "line", "name"], "left_anti").drop("name")
+    return out, left.select(*others.columns)
+
+
 def fingerprints(hits: DataFrame) -> DataFrame:
     """hits (path, rule_id, norm, start, ordinal) with occ, fingerprint and content_fingerprint; line numbers do not enter."""
     w = Window.partitionBy("path", "rule_id", "norm").orderBy("start", "ordinal")

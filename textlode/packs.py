@@ -31,7 +31,7 @@ class PackError(ValueError):
 _APPLIES = {"kind": "kinds", "kinds": "kinds", "lang": "langs", "langs": "langs", "globs": "globs", "exclude_globs": "exclude_globs", "tags_any": "tags_any", "tags_none": "tags_none", "max_bytes": "max_bytes", "include_minified": "include_minified"}
 _ALLOW = {"file_regex": "file_regex", "file_not_regex": "file_not_regex", "line_not_regex": "line_not_regex", "path_not_glob": "path_not_glob", "max_hits_per_file": "max_hits"}
 #: Fields that say something about a rule and change nothing.
-_TOLD = {"owner", "cwe", "owasp", "atlas", "fixtures", "since", "deprecated", "rationale"}
+_TOLD = {"owner", "owasp", "atlas", "fixtures", "since", "deprecated", "rationale"}
 _TUPLES = {f.name for f in fields(Rule) if str(f.type).startswith("tuple")}
 
 

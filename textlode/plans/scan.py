@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import time
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,7 @@ class Options:
     skip_minified: bool = True
     wildcard: bool = False
     inject: bool = False  # untrusted input: no markers, exposure default, kind doc
+    seconds: float | None = None  # that matching may take
     as_of: str | None = None  # a date; None: the day (UTC) on which the scan is planned
 
 
@@ -62,8 +64,8 @@ class Result:
 
 
 def rules_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    rows = [(r.id, r.pack, r.severity, r.exposure_sensitive, r.generic, list(r.supersedes), r.message or r.title, r.id.startswith("AG-")) for r in rules]
-    return spark.createDataFrame(rows, "rule_id string, pack string, base string, sensitive boolean, generic boolean, supersedes array<string>, message string, guarded boolean")
+    rows = [(r.id, r.pack, r.severity, r.exposure_sensitive, r.generic, list(r.supersedes), r.message or r.title, r.pack.startswith("agents"), list(r.cwe)) for r in rules]
+    return spark.createDataFrame(rows, "rule_id string, pack string, base string, sensitive boolean, generic boolean, supersedes array<string>, message string, guarded boolean, cwe array<string>")
 
 
 def message(template: Column, captures: Column) -> Column:
@@ -88,7 +90,7 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, options: Options = Options(
     folders = classify.charts(docs) if any("helm" in t for r in rules for t in (r.tags_any, r.tags_none)) else frozenset()
     if folders is None:
         raise ValueError("over 10,000 charts: scan them in parts, or give their tags by classify_rules")
-    how = match.Matching(options.allow_values, options.inject, options.wildcard, as_of, options.classify_rules, folders, options.skip_minified, INJECT_CHARS if options.inject else None)
+    how = match.Matching(options.allow_values, options.inject, options.wildcard, as_of, options.classify_rules, folders, options.skip_minified, INJECT_CHARS if options.inject else None, time.time() + options.seconds if options.seconds else None)
     # the one pass over texts; all that follows reads what was found
     events = materialize(match.events(docs, rules, how), "events")
     hits = events.where("hit IS NOT NULL").select("path", "hit.*")
@@ -122,6 +124,7 @@ def scan(docs: DataFrame, rules: list[Rule] = RULES, options: Options = Options(
     gated = found.where(F.col("confidence_rank") >= C.CONFIDENCES.index(options.min_confidence))
     shown = gated.where(C.rank(F.col("severity"), C.SEVERITIES) >= C.SEVERITIES.index(options.min_severity))
     notes = events.where("note IS NOT NULL").select("path", "note.*")
+    truncated = truncated or bool(options.seconds) and not notes.where("code = 'time-budget'").isEmpty()
     capped = notes.where("code = 'rule-capped'").select("path", "rule_id", F.col("n").alias("lost"))
     if baseline is not None:
         expired = baseline.where(F.col("expires") < F.lit(as_of).cast("date"))
