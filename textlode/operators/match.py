@@ -81,8 +81,8 @@ class Matcher:
         awake = self.waker.of(text)
         if not awake:
             return
-        lang, kind, tags = classify.classify(path, text, how.classify, how.charts)
-        doc = kernels.Document(text, path, "doc" if how.inject else kind, lang, tags, fallback)
+        lang, kind, tags = classify.classify(path or "", text, how.classify, how.charts)
+        doc = kernels.Document(text, path or "", "doc" if how.inject else kind, lang, tags, fallback)
         tried = [r for r in (self.rules[i] for i in awake) if applies(r, doc, how.inject or not how.skip_minified)]
         found, capped, secrets = kernels.scan(doc, tried, how.allow_values)
         for rule_id, lost in capped.items():
@@ -173,8 +173,8 @@ def applicable(docs: DataFrame, rules: list[Rule], how: Matching = Matching()) -
             for b in runs(batch, "text"):
                 found = []
                 for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
-                    lang, kind, tags = classify.classify(path, text or "", how.classify, how.charts)
-                    doc = kernels.Document(text or "", path, kind, lang, tags)
+                    lang, kind, tags = classify.classify(path or "", text or "", how.classify, how.charts)
+                    doc = kernels.Document(text or "", path or "", kind, lang, tags)
                     found += [(path, kind, r.id) for r in rules if applies(r, doc, not how.skip_minified)]
                 yield pa.record_batch({c: pa.array([f[i] for f in found], pa.string()) for i, c in enumerate(("path", "kind", "rule_id"))})
 
