@@ -7,7 +7,7 @@ the columns of their input.
 A null text counts as empty and stays null until it is packed as one end id. A null doc_id is a row as any other: it is judged by its
 own text, and comes after all doc_ids where one of a group stays. Of rows that repeat in doc_id and text, and of all near duplicates,
 one stays: that of least doc_id, then of least hash of the text. Other columns, of whatever name, are carried along. An empty table
-gives an empty one. Without labels of both classes nothing is toxic; without benchmark items nothing is contaminated.
+gives an empty one. Without labels nothing is toxic; without benchmark items nothing is contaminated.
 """
 
 from __future__ import annotations

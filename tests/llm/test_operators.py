@@ -436,6 +436,12 @@ def test_held_out_accuracy(spark, name, label, least):
     assert sum(r["predicted"] == r[label] for r in rows) >= least * len(rows) and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_nothing_is_rejected_without_labels(spark, labels, bench):
+    docs = table(spark, ROWS)
+    assert toxicity.accept(docs, labels.limit(0)).count() == len(ROWS)
+    assert decontamination.clean(docs, bench.limit(0)).count() == len(ROWS)
+
+
 def test_toxic_rows_take_no_other_row_along(spark):
     """A toxic and a clean row under a null doc_id, and under a repeated one."""
     known = [(i, f"{'fair' if i % 3 else 'foul'} word{i}") for i in range(200)]
