@@ -48,7 +48,7 @@ def test_packs(tmp_path):
             bad()
 
 
-@pytest.mark.parametrize("old,new", [("severity: high", "severity: huge"), ("id: MY", "id: my"), ("owner:", "owned:"), ("kind:", "sort:"), ("  message:", "  message: x\n  message:"), ("Word\\n", "(a+)+"), ("multiline", "yaml_path")])
+@pytest.mark.parametrize("old,new", [("severity: high", "severity: huge"), ("id: MY", "id: my"), ("owner:", "owned:"), ("kind:", "sort:"), ("  message:", "  message: x\n  message:"), ("Word\\n", "(a+)+"), ("multiline", "no_matcher")])
 def test_packs_are_checked(old, new):
     with pytest.raises(packs.PackError):
         packs.parse(PACK.replace(old, new), "p.yaml")
