@@ -529,6 +529,25 @@ def test_blocks_of_items_change_nothing(spark, monkeypatch, items):
     assert sorted(got, key=str) == sorted([(1, 1, 4), (1, 1, 4), (None, 1, None), (None, 0, None), (2, 0, None)], key=str)
 
 
+def test_the_space_is_fitted_on_every_document(spark):
+    """What is found hangs on texts, not on which doc_ids they have; A'(A left) is that of all passages, also of long texts."""
+    sf = "/root/testdata/sf0.01"
+    docs, bench = documents(spark, sf).select("doc_id", "text"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    a, b = ({r["doc_id"] % 10**6: r for r in decontamination.search(docs.withColumn("doc_id", F.col("doc_id") + n), bench).collect()} for n in (0, 10**6))
+    assert a.keys() == b.keys() and any(r["lcs"] for r in a.values())
+    for i, r in a.items():
+        assert (r["contaminated"], r["item_id"]) == (b[i]["contaminated"], b[i]["item_id"]) and abs(r["cosine"] - b[i]["cosine"]) < 1e-4
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(-1, 50, n).astype("<i4") for n in (0, 1, 16, 17, 33, 1024, 1040, 1041, 3000)]
+    idf, left = rng.random(50) + 0.5, rng.standard_normal((50, 7))
+    every = np.zeros((0, 50))
+    for t in texts:
+        rows = np.array([np.bincount(t[s : s + 32][t[s : s + 32] >= 0], minlength=50) for s in decontamination.passages(len(t)).tolist()]) * idf
+        every = np.vstack([every, rows / np.maximum(np.sqrt((rows**2).sum(1, keepdims=True)), 1e-9)])
+    rows = spark.createDataFrame([(bytearray(t.tobytes()),) for t in texts], "ids binary")
+    assert np.allclose(decontamination._summed(rows, idf, left), every.T @ (every @ left), atol=1e-3)
+
+
 def test_no_pair_that_shares_common_words_is_left_out():
     """near() against the longest common subsequence of every item with every passage."""
     rng = random.Random(4)

@@ -2,9 +2,9 @@ r"""Operator 7: benchmark passages in documents, by latent semantic retrieval, t
 
 Terms are the benchmark's own words (runs of letters and digits, in lower case); other words weigh nothing in either text.
   1. How many documents hold each term is counted over all documents.
-  2. A randomised SVD of the TF-IDF matrix of passages gives the latent space: Z = A'(A Omega), summed over partitions, Q from
-     its QR, then the eigenvectors of (AQ)'(AQ). A has all benchmark passages, weighed up to as much as the rest, and the
-     passages of a sample of documents (about FIT, by hash of doc_id: the index is fitted on a bounded sample).
+  2. A randomised decomposition (Nystrom's) of A'A, A being the TF-IDF matrix of passages, gives the latent space in one pass:
+     Z = A'(A Omega), summed over partitions, Q R from its QR, then the eigenvectors of R (Omega'Z)^-1 R' in Q. A has every
+     passage of every document, without a sample, and all benchmark passages, weighed up to as much as the rest.
   3. Every document is cut into overlapping passages of PASSAGE words. Each of the benchmark's items whose cosine with one is COSINE
      or more is a candidate. A passage is projected against an item only if the text that step 4 looks at has words enough for
      COMMON: that leaves at most `spare` of the item's words out, so of its spare + k rarest ones k must be there, in any order.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import documents, materialize
 
 PASSAGE, STEP, RANK, COSINE, LCS, COMMON, ANSWER = 32, 16, 192, 0.35, 0.65, 0.5, 4
-FIT, ITEMS = 500, 10_000
+ITEMS = 10_000
 RARE, LEAST, HITS = 0.02, 4, 1_000_000
 FOUND = "doc_id long, key long, contaminated int, item_id long, lcs double, cosine double"
 _WORD = re.compile(r"[^\W_]+")
@@ -130,62 +130,60 @@ def passages(n: int) -> np.ndarray:
 
 def _dense(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The terms of a text, and its passages' TF-IDF vectors over these, of length one."""
-    own, at = np.unique(ids, return_inverse=True)
-    starts = passages(len(ids))
-    a = np.zeros((len(starts), len(own)))
-    for k, s in enumerate(starts.tolist()):
-        a[k] = np.bincount(at[s : s + PASSAGE], minlength=len(own))
-    a = a[:, own >= 0] * idf[own[own >= 0]]
-    return own[own >= 0], a / np.maximum(np.sqrt((a * a).sum(1, keepdims=True)), 1e-9)
+    at = np.flatnonzero(ids >= 0)
+    seen, place = np.zeros(len(idf), bool), np.empty(len(idf), np.int64)
+    seen[ids[at]] = True
+    own = np.flatnonzero(seen)
+    place[own] = np.arange(len(own))
+    steps = len(passages(len(ids))) + 1
+    a = np.bincount(at // STEP * len(own) + place[ids[at]], minlength=steps * len(own)).reshape(steps, len(own)).astype(np.float32)
+    a = (a[:-1] + a[1:]) * idf[own]  # a passage is two steps
+    return own, a / np.maximum(np.sqrt(np.einsum("ij,ij->i", a, a)), 1e-9)[:, None]
 
 
-def _summed(sample: DataFrame, idf: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> np.ndarray:
-    """A'(A left), or (A left)'(A left) where right is None, over the passages of sample: partitions are summed, then their sums."""
+def _summed(rows: DataFrame, idf: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """A'(A left) over all passages of rows: partitions are summed, then their sums."""
+    small, light = left.astype(np.float32), idf.astype(np.float32)
 
     def run(batches):
-        total = np.zeros((left.shape[0] if right is not None else left.shape[1], left.shape[1]))
+        total = np.zeros(left.shape)
         for b in batches:
             for raw in b.column("ids").to_pylist():
                 ids = np.frombuffer(raw, "<i4")
-                for i in range(0, len(ids), 1024):
-                    own, a = _dense(ids[i : i + 1024], idf)
-                    y = a @ left[own]
-                    if right is None:
-                        total += y.T @ y
-                    else:
-                        total[own] += a.T @ y
-        at = range(0, len(total), 256)
-        yield pa.record_batch({"i": pa.array(at, pa.int32()), "x": pa.array([total[i : i + 256].tobytes() for i in at], pa.binary())})
+                for i in range(0, max(1, len(ids) - STEP), 1024):  # a part ends with the passage that starts before the next
+                    own, a = _dense(ids[i : i + 1024 + STEP], light)
+                    if len(own):
+                        total[own] += a.T @ (a @ small[own])
+        at = range(0, len(total), 32)
+        yield pa.record_batch({"i": pa.array(at, pa.int32()), "x": pa.array([total[i : i + 32].tobytes() for i in at], pa.binary())})
 
     def add(key, table):
         total = sum(np.frombuffer(x, np.float64) for x in table["x"].to_pylist())
         return pa.table({"i": pa.array([key[0].as_py()], pa.int32()), "x": pa.array([total.tobytes()], pa.binary())})
 
-    out = np.zeros((left.shape[0] if right is not None else left.shape[1], left.shape[1]))
-    for r in sample.select("ids").mapInArrow(run, "i int, x binary").groupBy("i").applyInArrow(add, "i int, x binary").collect():
+    out = np.zeros(left.shape)
+    for r in rows.select("ids").mapInArrow(run, "i int, x binary").groupBy("i").applyInArrow(add, "i int, x binary").collect():
         part = np.frombuffer(r["x"], np.float64).reshape(-1, out.shape[1])
         out[r["i"] : r["i"] + len(part)] = part
     return out
 
 
-def latent(rows: DataFrame, blocks: list[Benchmark], total: int, rank: int = RANK) -> np.ndarray:
+def latent(rows: DataFrame, blocks: list[Benchmark], rank: int = RANK) -> np.ndarray:
     """Terms' vectors in the latent space: terms x rank."""
-    every = max(1, -(-total // FIT))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).repartition(8)
     idf = blocks[0].idf
     width = min(rank + 16, len(idf))
-    start = np.random.default_rng(7).standard_normal((len(idf), width))
+    start = np.linalg.qr(np.random.default_rng(7).standard_normal((len(idf), width)))[0]
 
     def unit(bench: Benchmark) -> np.ndarray:
         a = bench.matrix()
         return a / np.maximum(np.sqrt((a * a).sum(1, keepdims=True)), 1e-9)
 
-    z = _summed(sample, idf, start, start)
+    z = _summed(rows, idf, start)
     own = sum(a.T @ (a @ start) for a in map(unit, blocks))
-    scale = max(1.0, np.linalg.norm(z) / max(np.linalg.norm(own), 1e-9))
-    q, _ = np.linalg.qr(z + scale * own)
-    mine = sum(y.T @ y for y in (unit(b) @ q for b in blocks))
-    values, vectors = np.linalg.eigh(_summed(sample, idf, q, None) + scale * mine)
+    z += max(1.0, np.linalg.norm(z) / max(np.linalg.norm(own), 1e-9)) * own
+    q, r = np.linalg.qr(z)
+    core = start.T @ z
+    values, vectors = np.linalg.eigh(r @ np.linalg.pinv((core + core.T) / 2, rcond=1e-6, hermitian=True) @ r.T)
     best = np.argsort(values)[::-1][: min(rank, width)]
     return q @ vectors[:, best]
 
@@ -311,7 +309,7 @@ def search(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     total = df.pop(-1, 0)
     for bench in blocks:
         bench.weigh(df, total)
-    space = latent(rows, blocks, total)
+    space = latent(rows, blocks)
 
     def found(bench: Benchmark, keys: list[str]) -> DataFrame:
         searcher = Searcher(bench, space)
