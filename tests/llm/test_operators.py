@@ -92,6 +92,38 @@ def test_ids_equal_those_of_the_whole_text(name, spaced):
         assert ids[at[i] : at[i + 1]].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids, t
 
 
+class Counting:
+    """A tokenizer that counts the words it is sent."""
+
+    def __init__(self, inner, words):
+        self.inner, self.words = inner, words
+
+    def encode_batch_fast(self, texts, **options):
+        self.words.update(w.strip("Ġ") for t in texts for w in t.split())
+        return self.inner.encode_batch_fast(texts, **options)
+
+
+@pytest.mark.parametrize("name,spaced", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_common_words_stay_known(name, spaced):
+    """Also where rare words fill the memory many times over; ids stay those of the whole text, with punctuation and capitals."""
+    e, words, rng = Encoder(P.path(name), spaced, most=500), Counter(), random.Random(4)
+    plain = e.tokenizer
+    for k, v in list(vars(e).items()):
+        if hasattr(v, "encode_batch_fast"):
+            setattr(e, k, Counting(v, words))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    common = ["q" + "".join(rng.choices(letters, k=6)) for _ in range(100)]
+    odd = ["É", "Éa,", "İ", "ıx.", "ſ", "ǆ…", "µm", "a_b", "it's", "(x)", "--", "9", "x\u0301", "日本", "ɐ", "ª).", "Ⱥ", ""]
+    for _ in range(30):
+        rare = ["".join(rng.choices(letters, k=8)) + rng.choice(["", ".", "),"]) for _ in range(600)]
+        texts = [" ".join(rng.sample([*common, *rare], 700)), "x " + " ".join(common)]
+        texts += [" ".join(rng.choices([*odd, *(w.title() for w in odd)], k=5)) for _ in range(20)]
+        ids, at = e.batch(pa.array(texts))
+        for i, t in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids, t
+    assert sum(words[w] for w in common) < 10 * len(common)  # in 30 calls
+
+
 def test_minimal_perfect_hash():
     keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64))
     index = mph.build(keys)
