@@ -288,7 +288,7 @@ def inline_suppression(spark, sf_dir):
     rows = spans(spark, sf_dir)
     marks = rows.where("ordinal % 50 = 0").select("path", F.col("s").alias("line"), F.col("s").alias("first"), (F.col("s") + 40).alias("last"), F.array("rule_id").alias("ids"), F.lit(True).alias("active"))
     found = rows.select("path", "rule_id", F.col("s").alias("line"), F.col("ordinal").alias("fingerprint"))
-    return R.suppress(found, marks).select(F.col("fingerprint").alias("ordinal"), "marker_line").distinct()
+    return R.first_markers(found, marks).select(F.col("fingerprint").alias("ordinal"), "marker_line")
 
 
 _BASELINE = "o AS (SELECT concat('f', CAST(ordinal % 5000 AS STRING)) AS fingerprint, concat('c', CAST(ordinal % 700 AS STRING)) AS content_fingerprint, path, ordinal FROM spans), b AS (SELECT DISTINCT concat('f', CAST(ordinal % 5000 AS STRING)) AS fingerprint, concat('c', CAST(ordinal % 700 AS STRING)) AS content_fingerprint, concat(path, CASE WHEN ordinal % 2 = 0 THEN '' ELSE '-old' END) AS path, CASE WHEN ordinal % 3 = 0 THEN DATE '2020-01-01' END AS expires FROM spans WHERE ordinal % 97 = 0)"
