@@ -2,6 +2,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from textlode import catalog
 
@@ -32,6 +33,13 @@ def test_query_equals_its_sql(spark, sf, duck, name):
     assert found
 
 
+@pytest.mark.parametrize("name", ["match_structures", "classify_contents", "view_decoded", "view_normalised"])
+def test_texts_made_of_one_group_of_rows_are_shared_out(spark, name):
+    found = [r["count"] for r in catalog.QUERIES[name](spark, "/root/testdata/sf0.1").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(found) == (7_500 if name == "match_structures" else 15_000)
+    assert len(found) >= spark.sparkContext.defaultParallelism and max(found) < sum(found) / 3
+
+
 def test_overlap_kept_equals_a_loop(spark, sf):
     groups: dict = {}
     for r in catalog.spans(spark, sf).collect():

@@ -620,9 +620,18 @@ def _pick(n: int, values: list[str]) -> str:
     return f"CASE CAST(c_custkey % {n} AS INT) " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(quoted)) + " END"
 
 
+#: Customers of whom one task makes texts.
+DEALT = 10_000
+
+
+def _customers(spark, sf_dir, *columns: str) -> DataFrame:
+    """Columns of customers, dealt out before texts are made of them: a file of a few megabytes, or a group of rows in it, would be one task's."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(*columns)
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // DEALT)))
+
+
 def _made(spark, sf_dir, path: str, text: str) -> DataFrame:
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return rows.select("c_custkey", F.expr(path).alias("path"), F.expr(text.replace("\\", "\\\\").replace("\n", "\\n")).alias("text"))
+    return _customers(spark, sf_dir, "c_custkey").select("c_custkey", F.expr(path).alias("path"), F.expr(text.replace("\\", "\\\\").replace("\n", "\\n")).alias("text"))
 
 
 _OF = [_pick(len(_TEXTS), [t[i] for t in _TEXTS]) for i in range(5)]
@@ -662,7 +671,7 @@ def match_structures(spark, sf_dir):
 def view_decoded(spark, sf_dir):
     """What base 64 hides."""
     told = F.concat("c_name", F.lit(" is the name of customer "), F.col("c_custkey").cast("string"))
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("path"), F.concat(F.lit("see "), F.base64(F.encode(told, "utf-8")), F.lit(" end")).alias("text"))
+    rows = _customers(spark, sf_dir, "c_custkey", "c_name").select(F.col("c_custkey").cast("string").alias("path"), F.concat(F.lit("see "), F.base64(F.encode(told, "utf-8")), F.lit(" end")).alias("text"))
     return views.decoded(rows).select(F.col("path").cast("long").alias("c_custkey"), "text", F.array_join("chain", ",").alias("chain"), "start")
 
 
@@ -670,7 +679,7 @@ def view_decoded(spark, sf_dir):
 def view_normalised(spark, sf_dir):
     """Spaced letters, entities, emphasis and hidden characters undone."""
     text = F.concat(F.lit("o**f** "), F.replace("c_name", F.lit("#"), F.lit("&#35;")), F.lit(" i g n o r e \u200bi**t"))
-    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("string").alias("path"), F.replace(text, F.lit("o**f** "), F.lit("o**f ")).alias("text"))
+    rows = _customers(spark, sf_dir, "c_custkey", "c_name").select(F.col("c_custkey").cast("string").alias("path"), F.replace(text, F.lit("o**f** "), F.lit("o**f ")).alias("text"))
     return views.normalized(rows).select(F.col("path").cast("long").alias("c_custkey"), "text", F.array_join("marks", ",").alias("marks"))
 
 
